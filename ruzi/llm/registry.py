@@ -6,12 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ruzi.llm import pii, quality_rules, url_filters
+from ruzi.llm import packing, pii, quality_model, quality_rules, sharding, simhash, url_filters
 from ruzi.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_tree_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op4_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_of(found.fp).alias("fingerprint"), "component_id")
+
+
 def op7_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -26,6 +43,10 @@ def op10_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_tree_quality": op1_tree_quality,
+    "op3_sampled_splitters": op3_sampled_splitters,
+    "op4_sum_of_squares": op4_sum_of_squares,
+    "op6_simhash_trees": op6_simhash_trees,
     "op7_pii_anchors": op7_pii_anchors,
     "op8_host_rules": op8_host_rules,
     "op10_redirect_equivalence": op10_redirect_equivalence,
