@@ -140,3 +140,54 @@ def judge(docs: DataFrame, host: str = "source", refuse_from: float = REFUSE_FRO
     return joined.select(
         "doc_id", "host", *COUNTS, base.alias("base_failed"), (~base & F.col("refused").isNull()).alias("kept")
     )
+
+
+#: DuckDB SQL for the query's rows.
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM d
+), c AS (
+  SELECT k, doc_id, source, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines
+  FROM w
+), u AS (
+  SELECT k, unnest(words) AS word, unnest(range(len(words))) AS i FROM w
+), g AS (
+  SELECT k, i, word || ' ' || lead(word, 1) OVER q || ' ' || lead(word, 2) OVER q || ' ' || lead(word, 3) OVER q
+               || ' ' || lead(word, 4) OVER q AS five
+  FROM u WINDOW q AS (PARTITION BY k ORDER BY i)
+), r AS (
+  SELECT k, i FROM g WHERE five IS NOT NULL QUALIFY count(*) OVER (PARTITION BY k, five) > 1
+), n AS (
+  SELECT k, CAST(count(DISTINCT i + o) AS BIGINT) AS n_repeat_words FROM r, range(5) AS t(o) GROUP BY k
+), m AS (
+  SELECT c.*, coalesce(n.n_repeat_words, 0) AS n_repeat_words FROM c LEFT JOIN n USING (k)
+), f AS (
+  SELECT *, n_words < 10 AS short, 100 * n_repeat_words > 20 * n_words AS repeats,
+         10 * n_symbols > 3 * word_chars AS symbols, 2 * n_dup_lines > n_words AS lines
+  FROM m
+), h AS (
+  SELECT source, count(*) AS n, unnest(['short', 'repeats', 'symbols', 'lines']) AS rule,
+         unnest([count(*) FILTER (short), count(*) FILTER (repeats), count(*) FILTER (symbols), count(*) FILTER (lines)]) AS bad
+  FROM f GROUP BY source
+), p AS (
+  SELECT rule, count(*) AS hosts, sum(n) AS docs, sum(bad) AS bad, sum(bad * bad / n) AS squares,
+         sum(bad) / sum(n) AS mean FROM h GROUP BY rule
+), s AS (
+  SELECT rule, mean, mean * (1 - mean) AS noise, squares / docs - mean * mean - mean * (1 - mean) * hosts / docs AS between_hosts FROM p
+), b AS (
+  SELECT rule, mean, CASE WHEN noise = 0 THEN 1.0 WHEN between_hosts > 0
+           THEN least(greatest(noise / between_hosts - 1, 1.0), 1e6) ELSE 1e6 END AS strength FROM s
+), refused AS (
+  SELECT DISTINCT source FROM h JOIN b USING (rule) WHERE (bad + mean * strength) / (n + strength) >= 0.8
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed,
+       NOT (short OR repeats) AND NOT EXISTS (SELECT 1 FROM refused WHERE refused.source IS NOT DISTINCT FROM f.source) AS kept
+FROM f
+"""

@@ -67,4 +67,8 @@ QUERIES: dict[str, Query] = {
     "op10_redirect_equivalence": op10_redirect_equivalence,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_curriculum": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_curriculum": mixing.SQL,
+    "op8_host_rules": quality_rules.SQL,
+    "op10_redirect_equivalence": url_filters.SQL,
+}

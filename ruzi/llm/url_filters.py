@@ -126,3 +126,46 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFram
     joined = own.join(aliases, F.col("page_key") == F.col("alias_key"), "left")
     verdict = F.coalesce("fit.verdict", F.when(F.col("alias_blocked"), "block"), F.lit("allow"))
     return joined.select("page_id", "host", "path", F.col("fit.text").alias("rule"), verdict.alias("verdict"))
+
+
+#: DuckDB SQL for the query's rows.
+SQL = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, html,
+         coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path,
+         regexp_extract(url, '^[^#]*?(\?[^#]*)', 1) AS query
+  FROM pages
+), tag AS (
+  SELECT *, regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*?\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS canonical,
+         regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) AS moved
+  FROM p
+), target AS (
+  SELECT host || path || query AS u, unnest([canonical, moved]) AS t, url FROM tag WHERE contains(url, '://')
+), absolute AS (
+  SELECT u, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t
+                 WHEN starts_with(t, '/') THEN regexp_extract(url, '^([^?#]*?://[^/?#]*)', 1) || t
+                 ELSE rtrim(regexp_extract(url, '^([^?#]*?://[^/?#]*(?:[^?#]*/)?)', 1), '/') || '/' || t END AS t
+  FROM target WHERE t <> ''
+), edge AS (
+  SELECT u, translate(regexp_extract(t, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+            || regexp_extract(t, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) || regexp_extract(t, '^[^#]*?(\?[^#]*)', 1) AS v FROM absolute
+), both_ways AS (
+  SELECT u, v FROM edge UNION SELECT v, u FROM edge UNION SELECT u, u FROM edge UNION SELECT v, v FROM edge
+), reach AS (
+  SELECT u AS a, v AS b FROM both_ways UNION SELECT r.a, e.v FROM reach r JOIN both_ways e ON r.b = e.u
+), rules(r_host, r_path, r_verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), site AS (
+  SELECT host, path, host || path || query AS k FROM p
+  UNION SELECT regexp_extract(b, '^[^/?]*', 0), regexp_extract(b, '^[^/?]*([^?]*)', 1), b FROM reach
+), fit AS (
+  SELECT k, arg_max(r_host || r_path, length(r_host || r_path)) AS rule, arg_max(r_verdict, length(r_host || r_path)) AS verdict
+  FROM site JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY k
+), alias AS (
+  SELECT a, bool_or(coalesce(verdict = 'block', false)) AND NOT bool_or(coalesce(verdict = 'allow', false)) AS blocked
+  FROM reach LEFT JOIN fit ON reach.b = fit.k GROUP BY a
+)
+SELECT page_id, host, path, fit.rule, coalesce(fit.verdict, CASE WHEN alias.blocked THEN 'block' END, 'allow') AS verdict
+FROM p LEFT JOIN fit ON fit.k = host || path || coalesce(query, '') LEFT JOIN alias ON alias.a = host || path || query
+"""
