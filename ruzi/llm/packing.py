@@ -21,11 +21,14 @@ an empty result; other columns don't matter.
 
 from __future__ import annotations
 
+import functools
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +37,7 @@ VOCABULARY = "word_bpe_49k.json"
 LENGTH = 2048
 END = 1
 MAX_OPEN = 4096
-#: Words whose ids are kept; the cache starts anew when it is full.
+#: Words whose ids are kept; when there are so many, they are kept as the older ones and a new lot begins.
 CACHED_WORDS = 200_000
 WIDTH = 4  # bytes of an id
 
@@ -47,25 +50,65 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: itself if visible, else the next above 255."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class WordIds(dict):
     """Little-endian unsigned 32-bit ids by word.
 
     The vocabulary's pre-tokenizer never joins text across white space, so the
-    ids of a text are those of its words one after another.
+    ids of a text are those of its words one after another.  Words of visible
+    Latin letters, for which lower case is all that normalizing does, are split by
+    the vocabulary's own pattern, and only their parts go to its model; any other
+    word goes through the whole tokenizer.
     """
 
+    PLAIN = regex.compile(r"[!-~\u00C0-\u017F]+")
+
     def __init__(self, path: str, limit: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.model, self.older, self.parts, self.letters = self.tokenizer.model, {}, {}, byte_letters()
+        self.split = self.own_pattern()
+
+    def own_pattern(self):
+        """The pre-tokenizer's pattern, or None for a vocabulary that works in another way."""
+        parts = json.loads(self.tokenizer.to_str())
+        normal = [part["type"] for part in (parts["normalizer"] or {}).get("normalizers", [])]
+        before = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if normal != ["NFC", "Replace", "Lowercase"] or [part["type"] for part in before] != ["Split", "ByteLevel"]:
+            return None
+        known = (before[0]["behavior"], before[0]["invert"], before[1]["add_prefix_space"], before[1]["use_regex"])
+        return regex.compile(before[0]["pattern"]["Regex"]) if known == ("Removed", True, False, False) else None
+
+    def part(self, text: str) -> bytes:
+        found = self.parts.get(text)
+        if found is None:
+            letters = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
+            found = np.array([token.id for token in self.model.tokenize(letters)], "<u4").tobytes()
+            if len(self.parts) >= self.limit:
+                self.parts.clear()
+            self.parts[text] = found
+        return found
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
-        found = np.asarray(ids, "<u4").tobytes()
-        if len(self) >= self.limit:
-            self.clear()
+        if (found := self.older.get(word)) is None:
+            text = word.decode("utf-8", "surrogatepass")
+            if self.split and self.PLAIN.fullmatch(text) and "<|" not in text:
+                text = text.lower()
+                found = self.part(text) if text.isalpha() else b"".join(map(self.part, self.split.findall(text)))
+            else:
+                found = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= 64:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
             self[word] = found
         return found
 
@@ -73,6 +116,12 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").split()))
 
 
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a worker."""
+    return WordIds(path)
+
+
 class Piece:
     """A run of one document's ids, from ``start`` on."""
 
@@ -180,7 +229,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, max_ope
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, packer = WordIds(path or vocabulary_path()), Packer(length, max_open)
+        ids_of, packer = word_ids(path or vocabulary_path()), Packer(length, max_open)
         number = TaskContext.get().partitionId() << 32
         end = np.asarray([END], "<u4").tobytes()
         for batch in batches:

@@ -87,3 +87,11 @@ def test_empty_and_clashing(spark):
     assert packing.pack(docs).count() == 0
     nameless = spark.createDataFrame([(None, "x y", 1), (None, None, 2)], "doc_id long, text string, offset int")
     assert {(r.doc_id, r.length) for r in packing.pack(nameless).collect()} == {(None, 3), (None, 1)}
+
+
+def test_plain_words_give_the_tokenizers_ids():
+    tokenizer, ids_of = Tokenizer.from_file(packing.vocabulary_path()), packing.WordIds(packing.vocabulary_path(), limit=500)
+    assert ids_of.split is not None
+    pieces = [chr(c) for c in [*range(33, 127), *range(0xC0, 0x180)]] + ["the", "'ll", "'S", "ing", "<|endoftext|>", "ßE", "İ", "1999"]
+    for word in noisy_texts(pieces, 6000, 9, seed=11):
+        assert np.frombuffer(ids_of.of(word), "<u4").tolist() == by_tokenizer(tokenizer, word)[:-1], repr(word)
