@@ -135,6 +135,11 @@ def as_number(operand: Operand, from_text: bool = True) -> Column:
     return F.lit(None).cast("double")
 
 
+def unsigned(zero: float) -> float:
+    """-0.0 as 0.0, which compares alike; both as literals of one projection give Spark 4.1 wrong code."""
+    return zero + 0.0
+
+
 def equals_literal(operand: Operand, value: Any) -> Column:
     """Loose equality with a literal: a number also equals a string that spells it."""
     column, kind = operand.column, operand.kind
@@ -144,19 +149,20 @@ def equals_literal(operand: Operand, value: Any) -> Column:
     if isinstance(value, bool):
         return {"boolean": lambda: column == value, "any": lambda: (column["t"] == BOOLEAN) & (column["b"] == value)}.get(kind, lambda: F.lit(False))()
     if isinstance(value, float):
-        return as_number(operand) == value if kind != "boolean" and kind != "other" else F.lit(False)
+        return as_number(operand) == unsigned(value) if kind != "boolean" and kind != "other" else F.lit(False)
     if isinstance(value, str):
         spelt = number_in(value)
         same = {"string": lambda: column == value, "any": lambda: (column["t"] == STRING) & (column["s"] == value)}.get(kind)
         parts = [same()] if same else []
         if spelt is not None and kind in ("number", "any"):
-            parts.append(as_number(operand, False) == spelt)
+            parts.append(as_number(operand, False) == unsigned(spelt))
         return any_of([F.coalesce(part, F.lit(False)) if len(parts) > 1 else part for part in parts]) if parts else F.lit(False)
     return F.lit(False)
 
 
 def compare_literal(op: str, operand: Operand, value: float) -> Column:
     """Strict equality or a range against a number."""
+    value = unsigned(value)
     if op == "strict":
         return as_number(operand, False) == value if operand.kind in ("number", "any") else F.lit(False)
     if operand.kind in ("boolean", "other"):

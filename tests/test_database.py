@@ -1,0 +1,265 @@
+from __future__ import annotations
+
+import pytest
+
+from ruzi import Database, EngineError
+
+
+@pytest.fixture
+def db(spark):
+    return Database.memory(spark)
+
+
+def code(call, *args, **more):
+    with pytest.raises(EngineError) as caught:
+        call(*args, **more)
+    return caught.value.code
+
+
+def school(db):
+    db.execute("""
+        kora itsinda abanyeshuri (id umubare, izina ijambo, mwarimu umubare)
+        kora itsinda abigisha (id umubare, umwarimu ijambo)
+        shira muri abanyeshuri { id: 1, izina: "Aline", mwarimu: 1 }
+        shira muri abanyeshuri { id: 2, izina: "Keza", mwarimu: 2 }
+        shira muri abigisha { id: 1, umwarimu: "Mukama" }
+        shira muri abigisha { id: 2, umwarimu: "Uwase" }
+    """)
+
+
+def test_a_script_runs_end_to_end(db):
+    done = db.execute("""
+        kora itsinda t
+        shira muri t { id: 1, izina: "Aline", amanota: 88, yize: nibyo }
+        shira muri t (id, izina, amanota, yize) agaciro (2, "Keza", 41, sibyo)
+        hindura t shyira amanota = 70 aho id = 2
+        hitamo izina, amanota muri t aho amanota >= 50
+        siba muri t aho id = 1
+        hitamo * muri t
+    """)
+    assert (done.statements, done.inserted, done.updated, done.deleted) == (7, 2, 1, 1)
+    assert done.rows[0] == [{"izina": "Aline", "amanota": 88}, {"izina": "Keza", "amanota": 70}]
+    assert done.last == [{"id": 2, "izina": "Keza", "amanota": 70, "yize": False}]
+
+
+def test_missing_null_and_star(db):
+    db.execute("kora itsinda t shira muri t { id: 1 } shira muri t { id: 2, izina: ubusa } shira muri t { id: 3, izina: 'c' }")
+    assert db.query_rows("hitamo * muri t") == [{"id": 1}, {"id": 2, "izina": None}, {"id": 3, "izina": "c"}]
+    assert db.query_rows("hitamo izina muri t") == [{"izina": None}, {"izina": None}, {"izina": "c"}]
+    assert db.query_rows("hitamo id muri t aho izina = ubusa") == [{"id": 2}]
+    assert db.get("t", {"izina": None}) == [{"id": 2, "izina": None}]
+    assert db.get("t", {"nta": 1}) == []
+    assert code(db.query_rows, "hitamo nta muri t") == "E_TYPE"
+    assert code(db.query_rows, "hitamo nta muri t imipaka 0") == "E_TYPE"
+
+
+def test_equality_is_loose_and_not_transitive(db):
+    db.execute("kora itsinda t")
+    for i, tag in enumerate(("1", "1.0", 1, "0", "-0", 0)):
+        db.add("t", {"id": i, "tag": tag})
+    ids = lambda where, **params: [r["id"] for r in db.query_rows(f"hitamo id muri t aho {where}", params)]
+    assert ids("tag = 1") == [0, 1, 2]
+    assert ids('tag = "1"') == [0, 2]
+    assert ids('tag = "1.0"') == [1, 2]
+    assert ids("tag ni 1") == [2]
+    assert ids("tag = 0") == [3, 4, 5]
+    assert ids("tag ni -0") == [5]
+    assert ids("tag > 0") == [0, 1, 2]
+    assert ids("tag = $v", v={"a": 1}) == []
+
+
+def test_sorting_and_grouping(db):
+    db.execute("""
+        kora itsinda t (id umubare, izina ijambo, amanota umubare)
+        shira muri t { id: 1, izina: "b", amanota: 10 }  shira muri t { id: 2, izina: "a", amanota: 30 }
+        shira muri t { id: 3, izina: "c", amanota: 20 }  shira muri t { id: 4, izina: "a", amanota: ubusa }
+    """)
+    ids = lambda rest: [r["id"] for r in db.query_rows(f"hitamo id muri t {rest}")]
+    assert ids("tondeka amanota") == [1, 3, 2, 4]
+    assert ids("tondeka amanota manuka") == [2, 3, 1, 4]
+    assert ids("tondeka izina imipaka 3") == [2, 4, 1]
+    assert ids("imipaka 2") == [1, 2]
+    assert ids("aho id > 1 kandi id < 2") == []
+    assert db.query_rows("hitamo izina, bara(*), bara(amanota), teranya(amanota), nto(amanota), nini(id) muri t koranya izina") == [
+        {"izina": "b", "bara": 1, "bara_amanota": 1, "teranya_amanota": 10, "nto_amanota": 10, "nini_id": 1},
+        {"izina": "a", "bara": 2, "bara_amanota": 1, "teranya_amanota": 30, "nto_amanota": 30, "nini_id": 4},
+        {"izina": "c", "bara": 1, "bara_amanota": 1, "teranya_amanota": 20, "nto_amanota": 20, "nini_id": 3},
+    ]
+    assert db.query_rows("hitamo bara(*), teranya(amanota) muri t aho id > 9") == [{"bara": 0, "teranya_amanota": None}]
+    assert db.query_rows("hitamo izina, bara(*) muri t aho id > 9 koranya izina") == []
+    assert db.query_rows("hitamo teranya(izina) muri t aho id > 9") == [{"teranya_izina": None}]
+    assert [r["izina"] for r in db.query_rows("hitamo izina, bara(*) muri t koranya izina tondeka bara(*) manuka, izina manuka")] == ["a", "c", "b"]
+    for bad in (
+        "hitamo teranya(izina) muri t", "hitamo izina, bara(*) muri t", "hitamo * muri t koranya izina", "hitamo id muri t tondeka bara(*)",
+        "hitamo id, bara(*) muri t koranya izina", "hitamo bara(id), bara(id) muri t", "hitamo x.id muri t",
+    ):
+        assert code(db.query_rows, bad) == "E_TYPE", bad
+
+
+def test_groups_of_mixed_values(db):
+    db.execute("kora itsinda t")
+    for value in (1, "1", None, -0.0, 0, [1], [1], True):
+        db.add("t", {"v": value})
+    db.add("t", {"w": 1})
+    rows = db.query_rows("hitamo v, bara(*) muri t koranya v")
+    assert [(r["v"], r["bara"]) for r in rows] == [(1, 1), ("1", 1), (None, 2), (0, 2), ([1], 2), (True, 1)]
+    assert code(db.query_rows, "hitamo nini(v) muri t") == "E_TYPE"
+    assert code(db.query_rows, "hitamo teranya(v) muri t") == "E_TYPE"
+    assert db.query_rows("hitamo nto(v), nini(v) muri t aho v >= 0") == [{"nto_v": 0, "nini_v": "1"}]
+    assert [r["v"] for r in db.query_rows("hitamo v muri t tondeka v")][:4] == [True, 0, 0, 1]
+
+
+def test_joins(db):
+    school(db)
+    assert db.query_rows("hitamo a.izina, b.umwarimu muri abanyeshuri a huza abigisha b aho a.mwarimu = b.id") == [
+        {"izina": "Aline", "umwarimu": "Mukama"}, {"izina": "Keza", "umwarimu": "Uwase"},
+    ]
+    assert db.query_rows("hitamo a.id, b.id muri abanyeshuri a huza abanyeshuri b aho a.id < b.id") == [{"a.id": 1, "b.id": 2}]
+    star = db.query_rows("hitamo * muri abanyeshuri a huza abigisha b aho a.mwarimu = b.id imipaka 1")
+    assert star == [{"a.id": 1, "izina": "Aline", "mwarimu": 1, "b.id": 1, "umwarimu": "Mukama"}]
+    assert len(db.query_rows("hitamo * muri abanyeshuri huza abigisha")) == 4
+    three = db.query_rows("hitamo * muri abanyeshuri a huza abigisha b huza abigisha c aho a.id = b.id kandi b.id = c.id")
+    assert list(three[0]) == ["a.id", "izina", "mwarimu", "b.id", "a.umwarimu", "id", "c.umwarimu"]
+    assert code(db.query_rows, "hitamo id muri abanyeshuri a huza abigisha b") == "E_TYPE"
+    assert code(db.query_rows, "hitamo * muri abigisha huza abigisha") == "E_TYPE"
+    assert code(db.query_rows, "hitamo * muri nta") == "E_COLLECTION_MISSING"
+
+
+def test_join_keys_of_mixed_kinds(db):
+    db.execute("kora itsinda a kora itsinda b (id umubare, tag ijambo)")
+    for i in (None, 1, "1", "x"):
+        db.add("a", {"id": i})
+    for i, tag in ((None, None), (1, "1"), (2, "x")):
+        db.add("b", {"id": i, "tag": tag})
+    pairs = lambda where: [(r["a.id"], r["b.id"]) for r in db.query_rows(f"hitamo a.id, b.id muri a huza b aho {where}")]
+    assert pairs("a.id = b.id") == [(1, 1), ("1", 1)]
+    assert pairs("a.id ni b.id") == [(1, 1)]
+    assert pairs("a.id = b.tag") == [(1, 1), ("1", 1), ("x", 2)]
+    assert pairs("a.id ni b.tag") == [("1", 1), ("x", 2)]
+    assert pairs("b.id = b.tag kandi a.id < b.id kandi a.id = ubusa") == []
+
+
+def test_a_left_index_turns_a_limited_join(db):
+    db.execute("kora itsinda t (id umubare) kora itsinda s (id umubare, n ijambo)")
+    for i in (2, 1):
+        db.add("t", {"id": i})
+    for i, n in ((1, "a"), (1, "b"), (2, "c"), (2, "d")):
+        db.add("s", {"id": i, "n": n})
+    names = lambda: [r["n"] for r in db.query_rows("hitamo s.n muri t huza s aho t.id = s.id imipaka 3")]
+    assert names() == ["c", "d", "a"]
+    db.execute("kora urutonde t_id muri t (id)")
+    assert names() == ["a", "b", "c"]
+    db.execute("kora urutonde s_id muri s (id)")
+    assert names() == ["c", "d", "a"]
+
+
+def test_writes_need_what_they_name(db):
+    db.execute("kora itsinda t (id umubare, a ijambo, b ijambo) shira muri t { id: 1 } shira muri t { id: 2, a: 'x', b: ubusa } shira muri t { id: 2, a: ubusa, b: ubusa }")
+    assert code(db.execute, "hindura t shyira a = 'y' aho id = 9") == "E_NOT_FOUND"
+    assert code(db.execute, "hindura t shyira a = 'y' aho id = 2") == "E_DUPLICATE"
+    assert code(db.execute, "hindura t shyira a = 5 aho id = 1") == "E_TYPE"
+    assert code(db.execute, "siba muri t aho id = 9") == "E_NOT_FOUND"
+    assert code(db.execute, "siba muri t aho nta = 1") == "E_NOT_FOUND"
+    assert code(db.set, "t", {}, {"a": "x"}) == "E_MISSING_PARAM"
+    assert code(db.delete, "t", {"id": {}}) == "E_MISSING_PARAM"
+    assert code(db.get, "t", {"id": {"ne": 1}}) == "E_OPERATOR"
+    assert code(db.get, "t", None, -1) == "E_TYPE"
+    assert code(db.add, "t", {"id": "1"}) == "E_TYPE"
+    assert code(db.add, "t", {"aho": 1}) == "E_TYPE"
+    # In a deletion two nulls are equal where the left one is there; in a query they aren't.
+    assert db.query_rows("hitamo id muri t aho a = b") == []
+    assert db.execute("siba muri t aho a = b").deleted == 1
+    db.set("t", {"id": 1}, {"a": "z", "extra": [1, {"k": None}]})
+    assert db.get("t") == [{"id": 1, "a": "z", "extra": [1, {"k": None}]}, {"id": 2, "a": "x", "b": None}]
+    db.execute("siba muri t aho id = 1 shira muri t { id: 1 }")
+    assert [r["id"] for r in db.get("t")] == [2, 1]
+
+
+def test_a_refused_row_changes_nothing(db):
+    db.execute("kora itsinda t (id umubare)")
+    assert code(db.add, "t", {"fresh": 1, "id": "no"}) == "E_TYPE"
+    assert code(db.query_rows, "hitamo fresh muri t") == "E_TYPE"
+    assert code(db.execute, "shira muri t { id: 1 } shira muri t { id: 'x' }") == "E_TYPE"
+    assert db.get("t") == []
+
+
+def test_tables_and_indexes(db):
+    db.execute("kora itsinda t (id umubare) kora urutonde i muri t (id)")
+    assert code(db.execute, "kora itsinda t") == "E_COLLECTION_EXISTS"
+    assert code(db.execute, "kora itsinda i") == "E_COLLECTION_EXISTS"
+    assert code(db.execute, "kora urutonde i muri t (x)") == "E_INDEX_EXISTS"
+    assert code(db.execute, "kora urutonde j muri t (id)") == "E_INDEX_EXISTS"
+    assert code(db.execute, "siba urutonde j") == "E_INDEX_MISSING"
+    assert code(db.execute, "siba itsinda j") == "E_COLLECTION_MISSING"
+    assert code(db.execute, "kora itsinda u (a umubare, a ijambo)") == "E_TYPE"
+    db.execute("siba itsinda t kora itsinda i")
+    assert db.collections() == ["i"]
+    db.delete_all()
+    assert db.collections() == []
+
+
+def test_case_of_names(db):
+    db.execute("kora itsinda T (Id umubare, id umubare) shira muri T { Id: 1, id: 2 }")
+    assert db.query_rows("hitamo * muri T") == [{"Id": 1, "id": 2}]
+    assert db.query_rows("hitamo id muri T aho Id = 1") == [{"id": 2}]
+    assert code(db.query_rows, "hitamo * muri t") == "E_COLLECTION_MISSING"
+
+
+def test_query_takes_only_reads(db):
+    db.execute("kora itsinda t")
+    assert code(db.query, "hitamo * muri t siba itsinda t") == "E_TYPE"
+    assert code(db.query, "") == "E_TYPE"
+    assert db.collections() == ["t"]
+
+
+def test_transactions(db):
+    db.execute("kora itsinda t (id umubare)")
+
+    def failing(tx):
+        tx.add("t", {"id": 1})
+        assert {"id": 1} in tx.get("t")
+        raise KeyError
+
+    with pytest.raises(KeyError):
+        db.transaction(failing)
+    assert db.get("t") == []
+    kept = []
+
+    def outer(tx):
+        kept.append(tx)
+        tx.add("t", {"id": 2})
+        with pytest.raises(KeyError):
+            tx.transaction(failing)
+        assert code(tx.save) == "E_TRANSACTION"
+        assert code(db.save) == "E_TRANSACTION"
+        return tx.get("t")
+
+    assert db.transaction(outer) == [{"id": 2}]
+    assert code(kept[0].get, "t") == "E_TRANSACTION"
+
+    async def later(tx):
+        tx.add("t", {"id": 3})
+
+    assert code(db.transaction, later) == "E_TRANSACTION"
+    assert code(db.transaction, lambda tx: later(tx)) == "E_TRANSACTION"
+    assert db.get("t") == [{"id": 2}]
+
+
+def test_many_changes(db):
+    db.execute("kora itsinda t (id umubare, n umubare)")
+    db.transaction(lambda tx: [tx.add("t", {"id": i, "n": 0}) for i in range(300)])
+    for i in range(20):
+        db.set("t", {"id": i}, {"n": i + 1})
+    assert db.query_rows("hitamo bara(*), teranya(n) muri t") == [{"bara": 300, "teranya_n": 210}]
+    assert [r["n"] for r in db.get("t", {"n": {"gt": 0}}, limit=3)] == [1, 2, 3]
+
+
+def test_registered_tables_keep_their_types(db, spark):
+    db.register("p", spark.createDataFrame([(1, "a", [1.5]), (None, None, None)], "k int, s string, v array<double>"))
+    frame = db.query("hitamo k, v muri p aho k = '1'")
+    assert dict(frame.dtypes) == {"k": "int", "v": "array<double>"}
+    assert db.query_rows("hitamo * muri p") == [{"k": 1, "s": "a", "v": [1.5]}, {"k": None, "s": None, "v": None}]
+    assert code(db.add, "p", {"k": 1}) == "E_TYPE"
+    db.load("c", spark.createDataFrame([(1, [1.5])], "k int, v array<double>"))
+    db.set("c", {"k": 1}, {"v": "new"})
+    assert db.get("c") == [{"k": 1, "v": "new"}]
