@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import glob
 import sys
 from dataclasses import dataclass
 from pathlib import Path
@@ -39,11 +40,12 @@ def opened(spark: SparkSession, path: str | None, create: bool) -> Database:
 
 
 def seed(database: Database) -> None:
-    """A database without tables takes those of the script of its name beside it."""
+    """A database without tables takes those of the script beside it, which has its name and a longer suffix in db."""
     path = database.path
     if path and path.lower().endswith(".db") and not database.collections():
-        script = Path(f"{path[:-3]}.kindb")
-        if script.is_file():
+        beside = sorted(Path(path).parent.glob(f"{glob.escape(Path(path).stem)}.?*db"))
+        script = next((p for p in beside if p.is_file()), None)
+        if script is not None:
             database.execute(script.read_text("utf-8"))
 
 

@@ -1,4 +1,4 @@
-"""JSON documents: ``{"kindb": 1, "db": {table: [row, ...]}}``, or the same without the first key."""
+"""JSON documents: an object whose key ``db`` holds ``{table: [row, ...]}``; its other keys don't matter."""
 
 from __future__ import annotations
 

@@ -50,7 +50,7 @@ def test_models(spark):
 
 
 def test_command_line(spark, tmp_path, capsys):
-    path, script = str(tmp_path / "a.db"), tmp_path / "a.kindb"
+    path, script = str(tmp_path / "a.db"), tmp_path / "a.textdb"
     script.write_text('kora itsinda t shira muri t { id: 1, n: "x" } hitamo * muri t')
     assert main(["version"], spark) == 0 and main(["help"], spark) == 0
     assert main(["init", path], spark) == 0
