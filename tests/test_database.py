@@ -185,6 +185,7 @@ def test_a_refused_row_changes_nothing(db):
 
 def test_tables_and_indexes(db):
     db.execute("kora itsinda t (id umubare) kora urutonde i muri t (id)")
+    assert db.columns("t") == [("id", "number")] and db.indexes("t") == {"i": "id"}
     assert code(db.execute, "kora itsinda t") == "E_COLLECTION_EXISTS"
     assert code(db.execute, "kora itsinda i") == "E_COLLECTION_EXISTS"
     assert code(db.execute, "kora urutonde i muri t (x)") == "E_INDEX_EXISTS"
