@@ -69,6 +69,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_curriculum": mixing.SQL,
+    "op3_sampled_splitters": sharding.SQL,
     "op8_host_rules": quality_rules.SQL,
     "op10_redirect_equivalence": url_filters.SQL,
 }

@@ -151,3 +151,31 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("place") - F.col("first_place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+#: DuckDB SQL for the rows of ``shard``: one sort by the key and one running sum.
+SQL = r"""
+WITH t AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS steps
+), d AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), b AS (
+  SELECT doc_id, text, octet_length(encode(text)) + 1 AS size,
+         list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes,
+         CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS text_key,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS id_key
+  FROM d
+), c AS (
+  SELECT doc_id, CAST(size AS BIGINT) AS size, text_key, id_key,
+         xor(list_reduce(bytes, lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS text_crc32
+  FROM b, t
+), p AS (
+  SELECT *, row_number() OVER w - 1 AS place, sum(size) OVER w AS upto, sum(size) OVER () AS total
+  FROM c WINDOW w AS (ORDER BY text_key, id_key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), s AS (
+  SELECT *, CAST(least(15, (2 * upto - size) * 16 // (2 * total)) AS INTEGER) AS shard FROM p
+)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+       CAST(place - min(place) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s
+"""
