@@ -217,8 +217,3 @@ def compare_columns(op: str, left: Operand, right: Operand) -> Column:
         return F.lit(False)
     a, b = as_number(left), as_number(right, False)
     return {"lt": lambda: a < b, "lte": lambda: a <= b, "gt": lambda: a > b, "gte": lambda: a >= b}[op]()
-
-
-def utf16(column: Column) -> Column:
-    """A sort key in the order of UTF-16 code units, where exactly that order is wanted."""
-    return F.encode(column, "UTF-16BE")
