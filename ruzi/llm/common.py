@@ -53,9 +53,3 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
                 yield out
 
     return df.mapInArrow(run, schema)
-
-
-def texts_of(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:
-    """The texts of a batch one by one, null as empty."""
-    for value in batch.column(name):
-        yield value.as_py() or ""
