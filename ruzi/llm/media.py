@@ -31,6 +31,10 @@ SCHEMA = (
     "media_bytes long, media_sha256 string, feature string"
 )
 
+PIXELS = "doc_id long, image int, height int, width int, pixels binary"
+#: Bytes of pixels after which a task hands its rows on.
+HELD = 8 << 20
+
 
 def payload_of(raw: bytes) -> bytes:
     """The bytes filled up to a positive multiple of ROW."""
@@ -96,6 +100,35 @@ def stored_media(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, media binary")
 
 
+def pixel_arrays(media: DataFrame) -> DataFrame:
+    """The pixels of stored images: doc_id, image (counted from 0), height, width and pixels, for each image.
+
+    ``pixels`` are little-endian unsigned 32-bit numbers, alpha highest, row by
+    row.  Any lossless WebP files do; a null or empty media has no images.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        for batch in batches:
+            for doc_id, stored in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for number, pixels in enumerate(images(stored.as_py() or b"")):
+                    rows.append((doc_id, number, *pixels.shape, pixels.astype("<u4").tobytes()))
+                    held += pixels.nbytes
+                    if held >= HELD:
+                        yield pixel_batch(rows)
+                        rows, held = [], 0
+        if rows:
+            yield pixel_batch(rows)
+
+    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, PIXELS)
+
+
+def pixel_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=[f.split()[0] for f in PIXELS.split(", ")])
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """One row of SCHEMA per document: stored, read back and measured."""
 

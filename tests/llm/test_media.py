@@ -183,3 +183,15 @@ def test_query_on_awkward_rows(spark):
             assert (r.media_bytes, r.media_sha256) == (len(stored[r.doc_id]), hashlib.sha256(stored[r.doc_id]).hexdigest())
     assert len({tuple(r)[1:] for r in got if r.doc_id in (0, 1)}) == 1
     assert media.digests(docs.where("false")).count() == 0
+
+
+def test_pixel_arrays(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "abc"), (2, "x" * 2000), (3, None)], "doc_id long, text string")
+    rows = media.pixel_arrays(media.stored_media(docs)).collect()
+    assert sorted((r.doc_id, r.image, r.height, r.width) for r in rows) == [(1, 0, 1, 576), (2, 0, 4, 576), (3, 0, 1, 576)]
+    found = {r.doc_id: np.frombuffer(r.pixels, "<u4") for r in rows}
+    assert found[1][:4].tolist() == [0xFF616161, 0xFF626262, 0xFF636363, 0xFFFFFFFF]
+    coloured = webp.encode(np.arange(12, dtype=np.uint32).reshape(3, 4), mode=11, cache_bits=3)
+    stored = spark.createDataFrame([(7, bytearray(coloured * 2)), (8, None)], "doc_id long, media binary")
+    assert [(r.image, np.frombuffer(r.pixels, "<u4").tolist()) for r in media.pixel_arrays(stored).collect()] == [(0, [*range(12)]), (1, [*range(12)])]
+    assert media.pixel_arrays(stored.where("false")).count() == 0
