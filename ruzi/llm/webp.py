@@ -4,8 +4,8 @@ The decoder reads prefix codes, back-references and the colour cache, with or
 without an image of code groups, and inverts the predictor, cross-colour,
 subtract-green and palette transforms.  Runs of literals are decoded for all bit
 positions at once: the step from every position to that of the next pixel is
-looked up as a vector, composed twice to steps of four pixels, and only every
-fourth position is followed one by one.
+looked up as a vector, composed to steps of eight pixels, and only every eighth
+position is followed one by one.
 
 Pixels are unsigned 32-bit numbers, alpha in the highest byte, then red, green
 and blue.
@@ -55,7 +55,7 @@ class Bits:
     """Reads numbers from the lowest bit on."""
 
     def __init__(self, data: bytes):
-        self.data, self.at = data + bytes(8), 0
+        self.data, self.at = data + bytes(40), 0
         raw = np.frombuffer(self.data, np.uint8).astype(np.uint32)
         self.words = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
         self.end = 8 * len(data)
@@ -93,7 +93,7 @@ class Code:
         if span.sum() != 1 << self.width:
             raise ValueError("a prefix code isn't complete")
         # In order of the code's first bit the codes fill the table one after another; the stream has that bit lowest.
-        turned = reversed_bits(np.arange(1 << self.width), np.full(1 << self.width, self.width))
+        turned = TURNED[: 1 << self.width] >> (LONGEST_CODE - self.width)
         self.symbols = np.repeat(order, span)[turned]
         self.steps = np.repeat(length, span)[turned]
 
@@ -106,14 +106,18 @@ class Code:
         return int(self.symbols[word])
 
 
-def reversed_bits(values: np.ndarray, widths: np.ndarray) -> np.ndarray:
+def _turned() -> np.ndarray:
+    """Each number of LONGEST_CODE bits the other way round."""
+    values = np.arange(1 << LONGEST_CODE)
+    return sum((values >> i & 1) << (LONGEST_CODE - 1 - i) for i in range(LONGEST_CODE))
+
+
+TURNED = _turned()
+
+
+def reversed_bits(values: np.ndarray, widths: np.ndarray | int) -> np.ndarray:
     """Each value's lowest ``width`` bits the other way round."""
-    values, out = values.astype(np.int64), np.zeros(len(values), np.int64)
-    for _ in range(LONGEST_CODE):
-        more = widths > 0
-        out = np.where(more, out << 1 | values & 1, out)
-        values, widths = values >> 1, widths - 1
-    return out
+    return TURNED[values] >> (LONGEST_CODE - widths)
 
 
 def read_code(bits: Bits, size: int) -> Code:
@@ -161,44 +165,59 @@ def cache_slots(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
     return (pixels.astype(np.uint32) * CACHE_MULTIPLIER) >> np.uint32(32 - cache_bits)
 
 
-def literal_run(bits: Bits, codes: list[Code], most: int) -> np.ndarray:
-    """Pixels of the literals from here on, at most ``most``, as far as they reach before another kind of symbol."""
-    green, red, blue, alpha, _ = codes
-    size = min(SPAN, max(0, bits.end + 16 - bits.at))
-    if size < 64 or most < 8:
-        return np.zeros(0, np.uint32)
-    windows = bits.windows(bits.at, size)
-    here = np.arange(size)
-    word = windows & ((1 << green.width) - 1)
-    literal = green.symbols[word] < LITERALS
-    after = here + green.steps[word]
-    for code in (red, blue, alpha):
-        if code.width:
-            inside = np.minimum(after, size - 1)
-            after = after + code.steps[windows[inside] & ((1 << code.width) - 1)]
-    step = np.where(literal & (after < size - 64), after, here)
-    two = step[step]
-    four, follow = two[two], []
-    look, at = memoryview(four), 0
-    for _ in range(-(-most // 4)):
-        follow.append(at)
-        to = look[at]
-        if to == at:
-            break
-        at = to
-    firsts = np.array(follow)
-    places = np.stack([firsts, step[firsts], two[firsts], step[two[firsts]]], axis=1).ravel()
-    moves = np.flatnonzero(step[places] == places)
-    places = places[: min(most, int(moves[0]) if len(moves) else len(places))]
-    if not len(places):
-        return np.zeros(0, np.uint32)
-    channels, spot = [], places
-    for code in (green, red, blue, alpha):
-        word = windows[spot] & ((1 << code.width) - 1)
-        channels.append(code.symbols[word].astype(np.uint32))
-        spot = spot + code.steps[word]
-    bits.at += int(spot[-1])
-    return channels[3] << 24 | channels[1] << 16 | channels[0] << 8 | channels[2]
+class Literals:
+    """Decodes runs of literals; what it looked up for a span of bits serves all runs that begin in it."""
+
+    def __init__(self, bits: Bits, codes: list[Code]):
+        self.bits, self.codes, self.begin, self.size = bits, codes[:4], 0, 0
+
+    def look(self) -> None:
+        """Steps from each bit position of the span to the next pixel; none from what isn't a literal or ends beyond."""
+        bits, (green, *others) = self.bits, self.codes
+        self.begin, self.size = bits.at, min(SPAN, bits.end + 256 - bits.at)
+        self.windows = bits.windows(bits.at, self.size)
+        here = np.arange(self.size)
+        word = (self.windows & ((1 << green.width) - 1)).astype(np.intp)
+        after = here + green.steps.take(word)
+        for code in others:
+            if code.width:
+                after += code.steps[self.windows[np.minimum(after, self.size - 1)] & ((1 << code.width) - 1)]
+        self.one = np.where((green.symbols.take(word) < LITERALS) & (after < self.size - 64), after, here)
+        self.two = self.one.take(self.one)
+        self.four = self.two.take(self.two)
+        self.eight = memoryview(self.four.take(self.four))
+
+    def run(self, most: int) -> np.ndarray:
+        """Pixels of the literals from here on, at most ``most``, as far as they reach before another kind of symbol."""
+        bits = self.bits
+        if most < 8 or bits.at >= bits.end:
+            return np.zeros(0, np.uint32)
+        if not self.begin <= bits.at < self.begin + self.size - 256:
+            self.look()
+        look, at, follow = self.eight, bits.at - self.begin, []
+        for _ in range(-(-most // 8)):
+            follow.append(at)
+            to = look[at]
+            if to == at:
+                break
+            at = to
+        places = np.array(follow)
+        for step in (self.four, self.two, self.one):
+            places = np.stack([places, step.take(places)], axis=-1).ravel()
+        still = np.flatnonzero(self.one.take(places) == places)
+        spot = places[: min(most, int(still[0]) if len(still) else len(places))]
+        if not len(spot):
+            return np.zeros(0, np.uint32)
+        bits.at = self.begin + int(self.one[spot[-1]])
+        pixels, same = np.zeros(len(spot), np.int64), 0
+        for code, shift in zip(self.codes, (8, 16, 0, 24)):
+            if code.single is not None:
+                same |= code.single << shift
+                continue
+            word = self.windows.take(spot) & ((1 << code.width) - 1)
+            pixels |= code.symbols.take(word) << shift
+            spot = spot + code.steps.take(word)
+        return (pixels | same).astype(np.uint32)
 
 
 def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -218,10 +237,11 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     out = np.zeros(total, np.uint32)
     cache = np.zeros(1 << cache_bits, np.uint32)
     at = cached = 0
+    literals = Literals(bits, codes[0]) if groups is None else None
     while at < total:
-        if groups is None:
+        if literals is not None:
             group = codes[0]
-            run = literal_run(bits, group, total - at)
+            run = literals.run(total - at)
             out[at : at + len(run)] = run
             at += len(run)
             if at == total:
@@ -387,14 +407,12 @@ def decode(data: bytes) -> np.ndarray:
             pixels = unbundle(pixels, detail, size, columns)
         elif kind == PREDICTOR:
             pixels = pixels_of(undo_predictor(channels_of(pixels), (detail >> 8 & 15).astype(np.int64), size))
-        else:
+        elif kind == CROSS_COLOUR:
             image = channels_of(pixels).astype(np.int64)
-            if kind == CROSS_COLOUR:
-                image = cross_colour(image, spread(channels_of(detail), size, height, columns), 1)
-            else:
-                image[..., 1] = (image[..., 1] + image[..., 2]) & 255
-                image[..., 3] = (image[..., 3] + image[..., 2]) & 255
-            pixels = pixels_of(image)
+            pixels = pixels_of(cross_colour(image, spread(channels_of(detail), size, height, columns), 1))
+        else:
+            both = (pixels & 0xFF00FF) + (pixels >> 8 & 255) * np.uint32(0x10001)
+            pixels = pixels & 0xFF00FF00 | both & 0xFF00FF
     return pixels
 
 
@@ -402,7 +420,7 @@ def decode(data: bytes) -> np.ndarray:
 
 
 class Writer:
-    """Collects numbers with their bit counts."""
+    """Collects numbers of at most 16 bits with their bit counts."""
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -414,18 +432,25 @@ class Writer:
         self.counts.append(count)
 
     def put_all(self, values: np.ndarray, counts: np.ndarray) -> None:
-        self.parts += [(np.array(self.values, np.uint32), np.array(self.counts, np.int64)), (values.astype(np.uint32), counts)]
+        self.parts += [(np.array(self.values, "<u2"), np.array(self.counts, np.uint8)), (values.astype("<u2"), counts.astype(np.uint8))]
         self.values, self.counts = [], []
 
     def data(self) -> bytes:
+        """All numbers one after another: two by two, each pair added to the bytes that it reaches into."""
         self.put_all(np.zeros(0), np.zeros(0, np.int64))
-        out = []
-        for values, counts in self.parts:
-            for i in range(0, len(values), 1 << 16):
-                some, count = values[i : i + (1 << 16)], counts[i : i + (1 << 16)]
-                places = np.arange(int(count.max()), dtype=np.uint32)
-                out.append(((some[:, None] >> places) & 1).astype(np.uint8)[places < count[:, None]])
-        return np.packbits(np.concatenate(out), bitorder="little").tobytes()
+        values = np.concatenate([part for part, _ in self.parts]).astype(np.int64)
+        counts = np.concatenate([part for _, part in self.parts]).astype(np.int64)
+        if len(values) & 1:
+            values, counts = np.append(values, 0), np.append(counts, 0)
+        values, counts = values[::2] | values[1::2] << counts[::2], counts[::2] + counts[1::2]
+        ends = np.cumsum(counts)
+        begins = ends - counts
+        first, size = begins >> 3, int(ends[-1] + 7 >> 3)
+        values <<= begins & 7
+        out = np.zeros(size + 5)
+        for i in range(5):
+            out += np.bincount(first + i, values >> 8 * i & 255, size + 5)
+        return out[:size].astype(np.uint8).tobytes()
 
 
 def code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
@@ -469,17 +494,21 @@ def codes_for(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def put_code(out: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def put_code(out: Writer, counts: np.ndarray, longest: int = LONGEST_CODE) -> tuple[np.ndarray, np.ndarray]:
     """Write a prefix code for the counts; return codes and lengths by symbol."""
     used = np.flatnonzero(counts).tolist() or [0]
-    lengths = code_lengths(counts, LONGEST_CODE)
-    if len(used) <= 2 and used[-1] < 256:
+    if len(used) == 1 and used[0] < 256:
+        for value, count in ((1, 1), (0, 1), (1, 1), (used[0], 8)):
+            out.put(value, count)
+        return np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    lengths = code_lengths(counts, longest)
+    if len(used) == 2 and used[-1] < 256:
+        out.put(1, 1)
         out.put(1, 1)
-        out.put(len(used) - 1, 1)
         out.put(1, 1)
         for symbol in used:
             out.put(symbol, 8)
-        return codes_for(lengths), lengths if len(used) == 2 else np.zeros_like(lengths)
+        return codes_for(lengths), lengths
     out.put(0, 1)
     tokens = []  # token, extra bits, their count
     zeros = 0
@@ -534,7 +563,7 @@ def runs_of(pixels: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.minimum(LONGEST_RUN, np.repeat(lengths, pieces) - nth * LONGEST_RUN)
 
 
-def put_pixels(out: Writer, pixels: np.ndarray, width: int, main: bool, cache_bits: int = 0, least_run: int = 8) -> None:
+def put_pixels(out: Writer, pixels: np.ndarray, width: int, main: bool, cache_bits: int = 0, least_run: int = 8, longest: int = LONGEST_CODE) -> None:
     """An entropy-coded image of literals, runs as back-references by one pixel, and colours from the cache."""
     starts, lengths = runs_of(pixels, least_run)
     kind = np.zeros(len(pixels), np.int8)  # 0 literal, 1 start of a run, 2 cached, 3 inside a run
@@ -549,9 +578,9 @@ def put_pixels(out: Writer, pixels: np.ndarray, width: int, main: bool, cache_bi
                 kind[i] = 2
             cache[slot] = pixel
     keep = kind != 3
-    kinds, chosen = kind[keep], channels_of(pixels[keep])
+    kinds, chosen = kind[keep], pixels[keep].astype(np.int64)
     length_symbols, length_extra, length_bits = prefix_of(lengths)
-    green = chosen[:, 2].astype(np.int64)
+    green = chosen >> 8 & 255
     green[kinds == 1] = LITERALS + length_symbols
     if cache_bits:
         green[kinds == 2] = LITERALS + LENGTHS + slots[keep][kinds == 2]
@@ -564,18 +593,22 @@ def put_pixels(out: Writer, pixels: np.ndarray, width: int, main: bool, cache_bi
     if main:
         out.put(0, 1)
     alphabet = LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0)
-    tables = [put_code(out, np.bincount(green, minlength=alphabet))]
-    for channel in (1, 3, 0):
-        tables.append(put_code(out, np.bincount(chosen[literal, channel], minlength=LITERALS)))
+    tables = [put_code(out, np.bincount(green, minlength=alphabet), longest)]
+    single = ((chosen ^ chosen[0]) & 0xFFFF00FF).any() == 0
+    for shift in (16, 0, 24):
+        used = chosen[:1] if single else chosen[literal]
+        tables.append(put_code(out, np.bincount(used >> shift & 255, minlength=LITERALS)))
     put_code(out, np.bincount(distance, minlength=DISTANCES) if len(starts) else np.zeros(DISTANCES, np.int64))
-    values, counts = np.zeros((len(green), 4), np.int64), np.zeros((len(green), 4), np.int64)
-    values[:, 0], counts[:, 0] = tables[0][0][green], tables[0][1][green]
-    for i, channel in enumerate((1, 3, 0), 1):
-        symbols = chosen[:, channel]
-        values[:, i] = np.where(literal, tables[i][0][symbols], 0)
-        counts[:, i] = np.where(literal, tables[i][1][symbols], 0)
-    values[kinds == 1, 1], counts[kinds == 1, 1] = length_extra, length_bits
-    out.put_all(*((values[:, 0], counts[:, 0]) if not counts[:, 1:].any() else (values.ravel(), counts.ravel())))
+    columns = [(tables[0][0][green], tables[0][1][green])]
+    for shift, (codes, code_bits) in zip((16, 0, 24), tables[1:]):
+        if code_bits.any():
+            symbols = chosen >> shift & 255
+            columns.append((np.where(literal, codes[symbols], 0), np.where(literal, code_bits[symbols], 0)))
+    if len(starts):
+        extra, extra_bits = np.zeros(len(green), np.int64), np.zeros(len(green), np.int64)
+        extra[kinds == 1], extra_bits[kinds == 1] = length_extra, length_bits
+        columns.append((extra, extra_bits))
+    out.put_all(*(np.stack(part, axis=1).ravel() for part in zip(*columns)))
 
 
 def container(data: bytes) -> bytes:
@@ -592,25 +625,33 @@ def begin(width: int, height: int) -> Writer:
     return out
 
 
-def encode_grey(samples: np.ndarray) -> bytes:
-    """Rows and columns of 8-bit samples, as a palette of the greys that occur."""
+def encode_grey(samples: np.ndarray, least_run: int = 24, longest: int = 12) -> bytes:
+    """Rows and columns of 8-bit samples as greys: by a palette where some share a pixel, else by their green alone.
+
+    Codes of at most ``longest`` bits keep the reader's tables small.
+    """
     height, width = samples.shape
     out = begin(width, height)
     present = np.flatnonzero(np.bincount(samples.ravel(), minlength=256))
+    bits = bundle_bits(len(present))
+    out.put(1, 1)
+    if not bits:
+        # Less green, a grey pixel has no red and no blue.
+        out.put(SUBTRACT_GREEN, 2)
+        out.put(0, 1)
+        put_pixels(out, OPAQUE_BLACK | samples.ravel().astype(np.uint32) << 8, width, True, 0, least_run, longest)
+        return container(out.data())
     palette = (OPAQUE_BLACK + present * 0x10101).astype(np.uint32)
     steps = np.diff(channels_of(palette).astype(np.int64), axis=0, prepend=0) & 255
-    for value, count in ((1, 1), (PALETTE, 2), (len(palette) - 1, 8)):
-        out.put(value, count)
+    out.put(PALETTE, 2)
+    out.put(len(palette) - 1, 8)
     put_pixels(out, pixels_of(steps), len(palette), False)
     out.put(0, 1)
     place = np.zeros(256, np.uint32)
     place[present] = np.arange(len(present))
-    index, bits = place[samples], bundle_bits(len(palette))
-    if bits:
-        each = 8 >> bits
-        index = np.pad(index, ((0, 0), (0, -width % (1 << bits)))).reshape(height, -1, 1 << bits)
-        index = (index << (np.arange(1 << bits, dtype=np.uint32) * each)).sum(-1, dtype=np.uint32)
-    put_pixels(out, (index << 8).ravel(), index.shape[1], True)
+    index = np.pad(place[samples], ((0, 0), (0, -width % (1 << bits)))).reshape(height, -1, 1 << bits)
+    index = (index << (np.arange(1 << bits, dtype=np.uint32) * (8 >> bits))).sum(-1, dtype=np.uint32)
+    put_pixels(out, (index << 8).ravel(), index.shape[1], True, 0, least_run, longest)
     return container(out.data())
 
 
