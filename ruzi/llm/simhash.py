@@ -15,7 +15,7 @@ groups are the connected components of the links.
   the pairs of a group.
 * Distributed rounds join the shards' groups.
 
-Scale: texts are read once and never shuffled; fingerprints (16 bytes a document)
+Scale: texts are read once and not shuffled (``deduplicated`` shuffles them once); fingerprints (16 bytes a document)
 are written to the shared folder.  The sample has at most ``MAX_SAMPLE`` rows
 whatever the input.  No link, component or fingerprint of the corpus is collected.
 
@@ -247,7 +247,8 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     groups = written(near_duplicates(docs, radius).select(F.col("doc_id").alias("_group_id"), "component_id"))
     extra = groups.where(F.col("_group_id") != F.col("component_id")).select("_group_id")
-    kept = docs.join(extra, docs["doc_id"].cast("long") == F.col("_group_id"), "left_anti")
+    # The same plan at every size: the texts are shuffled once by id, and no list of ids is broadcast.
+    kept = docs.join(extra.hint("merge"), docs["doc_id"].cast("long") == F.col("_group_id"), "left_anti")
     again = groups.groupBy("_group_id").count().where((F.col("count") > 1) & F.col("_group_id").isNotNull()).select("_group_id")
     if again.isEmpty():
         return kept
