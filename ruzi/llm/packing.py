@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,7 @@ LENGTH = 2048
 END = 1
 MAX_OPEN = 4096
 #: Words whose ids are kept; when there are so many, they are kept as the older ones and a new lot begins.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 500_000
 WIDTH = 4  # bytes of an id
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -67,7 +69,7 @@ class WordIds(dict):
     word goes through the whole tokenizer.
     """
 
-    PLAIN = regex.compile(r"[!-~\u00C0-\u017F]+")
+    PLAIN = re.compile(r"[!-~\u00C0-\u017F]+")
 
     def __init__(self, path: str, limit: int = CACHED_WORDS):
         from tokenizers import Tokenizer
@@ -88,10 +90,9 @@ class WordIds(dict):
         return regex.compile(before[0]["pattern"]["Regex"]) if known == ("Removed", True, False, False) else None
 
     def part(self, text: str) -> bytes:
-        found = self.parts.get(text)
-        if found is None:
+        if (found := self.parts.get(text)) is None:
             letters = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
-            found = np.array([token.id for token in self.model.tokenize(letters)], "<u4").tobytes()
+            found = array("I", [token.id for token in self.model.tokenize(letters)]).tobytes()
             if len(self.parts) >= self.limit:
                 self.parts.clear()
             self.parts[text] = found
@@ -100,11 +101,11 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         if (found := self.older.get(word)) is None:
             text = word.decode("utf-8", "surrogatepass")
-            if self.split and self.PLAIN.fullmatch(text) and "<|" not in text:
+            if self.split and (text.isascii() and text.isalpha() or self.PLAIN.fullmatch(text) and "<|" not in text):
                 text = text.lower()
                 found = self.part(text) if text.isalpha() else b"".join(map(self.part, self.split.findall(text)))
             else:
-                found = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                found = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(word) <= 64:
             if len(self) >= self.limit:
                 self.older = dict(self)
