@@ -1,7 +1,7 @@
 """From raw documents to packed training windows: five stages, each on all that the one before kept.
 
 1. quality: documents that the tree classifier scores below its threshold go.
-2. near_duplicates: one document of each SimHash group stays.
+2. near_duplicates: one row of each group of similar texts stays (five-word shingles, Jaccard 0.8 or more).
 3. pii: personal data in the texts is replaced by its kind.
 4. mixing: sources are taken to their target words, copies in curriculum order.
 5. packing: texts become pieces of windows of 2048 tokens.
@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruzi.llm import mixing, packing, pii, quality_model, simhash
+from ruzi.llm import mixing, packing, pii, quality_model, resemblance
 from ruzi.llm.common import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -31,8 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group."""
-    return simhash.deduplicated(docs)
+    """The first row of each group of texts that share four fifths or more of their five-word shingles."""
+    return resemblance.deduplicated(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack),
 ]
 
-#: Trees, SimHash and tokens are beyond SQL.
+#: Trees, shingle hashes and tokens are beyond SQL.
 ORACLE_SQL = None
 
 

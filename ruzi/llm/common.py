@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What all operators call a word: a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,6 +44,19 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """row, a struct of all columns, and key, a number of the row's own; written once, so that keys stay."""
+    return written(df.select(F.struct(*[df[f"`{name}`"] for name in df.columns]).alias("row"), F.monotonically_increasing_id().alias("key")))
+
+
+def first_rows(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The columns of the rows of ``keyed`` that ``keys`` (column key, each once) names.
+
+    The same plan at every size: the rows are shuffled once by key, and no list of keys is broadcast.
+    """
+    return rows.join(written(keys).hint("merge"), "key", "left_semi").select("row.*")
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """mapInArrow with one call of ``make`` for each task and one of its result for each batch."""
 
