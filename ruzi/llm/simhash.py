@@ -15,7 +15,7 @@ groups are the connected components of the links.
   the pairs of a group.
 * Distributed rounds join the shards' groups.
 
-Scale: texts are read once and not shuffled (``deduplicated`` shuffles them once); fingerprints (16 bytes a document)
+Scale: texts are read once and not shuffled (``deduplicated`` writes them once and shuffles them once); fingerprints (16 bytes a document)
 are written to the shared folder.  The sample has at most ``MAX_SAMPLE`` rows
 whatever the input.  No link, component or fingerprint of the corpus is collected.
 
@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruzi.llm.common import map_batches, written
+from ruzi.llm.common import first_rows, keyed, map_batches, written
 from ruzi.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -240,19 +240,14 @@ def hex_of(fp: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents less all but the first (by doc_id) of each group, with their columns.
+    """The documents less all but the first row of each group, with their columns.
 
-    Rows without an id can't be told apart and stay.  Rows that share an id count
-    as one document: the first in the order of their texts stays.
+    First is by doc_id, rows without one last, then by the text's hash.
     """
-    groups = written(near_duplicates(docs, radius).select(F.col("doc_id").alias("_group_id"), "component_id"))
-    extra = groups.where(F.col("_group_id") != F.col("component_id")).select("_group_id")
-    # The same plan at every size: the texts are shuffled once by id, and no list of ids is broadcast.
-    kept = docs.join(extra.hint("merge"), docs["doc_id"].cast("long") == F.col("_group_id"), "left_anti")
-    again = groups.groupBy("_group_id").count().where((F.col("count") > 1) & F.col("_group_id").isNotNull()).select("_group_id")
-    if again.isEmpty():
-        return kept
-    again = written(again)
-    same = kept["doc_id"].cast("long") == F.col("_group_id")
-    first = kept.join(again, same, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*kept.columns), F.struct("text", "doc_id")).alias("_row"))
-    return kept.join(again, same, "left_anti").unionByName(first.select("_row.*"))
+    kept = keyed(docs)
+    rows = kept.select("key", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
+    groups = near_duplicates(rows.select(F.col("key").alias("doc_id"), "text"), radius).select(F.col("doc_id").alias("key"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("tie"), "key")
+    named = rows.select("key", order.alias("first_row")).join(groups, "key")
+    first = named.groupBy("component_id").agg(F.min("first_row").alias("first_row"))
+    return first_rows(kept, first.select("first_row.key"))

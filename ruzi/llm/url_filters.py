@@ -80,9 +80,9 @@ def links(pages: DataFrame) -> DataFrame:
 
     A target that isn't absolute is resolved against the page's own url.
     """
-    canonical = F.regexp_extract("html", r"(?is)<link\b[^>]{0,2000}?\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
+    canonical = F.regexp_extract("html", r"(?is)<link\b[^>]*?\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
     href = F.regexp_extract(canonical, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract("html", r"(?is)<meta\b[^>]{0,2000}?\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
+    refresh = F.regexp_extract("html", r"(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
     moved = F.regexp_extract(refresh, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
     both = pages.where(F.col("url").contains("://")).select(F.col("url").alias("source"), F.explode(F.array(href, moved)).alias("to"))
     root = F.regexp_extract("source", r"^([^?#]*?://[^/?#]*)", 1)

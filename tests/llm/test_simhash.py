@@ -111,3 +111,11 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], DOC_SCHEMA)
     assert sh.near_duplicates(docs).count() == 0
     assert sh.deduplicated(docs).count() == 0
+
+
+def test_rows_are_dropped_by_row_and_not_by_id(spark):
+    texts = ["a clean text that comes twice", "another text altogether of its own", "third words that nobody else has"]
+    rows = [(1, texts[0]), (2, texts[0]), (2, texts[1]), (3, texts[2]), (3, "fourth of the texts, same id as third"), (None, texts[1]), (None, "x y z"), (None, "x y z")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], DOC_SCHEMA)
+    got = [(r.doc_id, r.text) for r in sh.deduplicated(docs).collect()]
+    assert sorted_rows(got) == sorted_rows([rows[0], rows[2], rows[3], rows[4], rows[6]])

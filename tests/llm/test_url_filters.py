@@ -81,3 +81,14 @@ def test_aliases_take_block_verdicts(spark):
 def test_empty_and_clashing(spark):
     pages = spark.createDataFrame([], SCHEMA + ", host string, source string, target string, node string, fit string")
     assert uf.judge(pages).count() == 0
+
+
+def test_links_behind_long_attributes(spark):
+    long = "q" * 5000
+    rows = [
+        (1, "http://a.io/1", f'<link title="{long}" href="http://bad.net/x" rel="canonical">'),
+        (2, "http://b.io/1", f'<meta name="{long}" content="0; url=http://bad.net/x" http-equiv="refresh">'),
+        (3, "http://c.io/1", f'<link title="{long}">'),
+    ]
+    got = {r.page_id: r.verdict for r in uf.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow"}
