@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -39,6 +44,17 @@ def test_entry(spark):
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
+@pytest.mark.parametrize("kept", [(), ("corpus_pipeline.py",)])
+def test_the_tree_works_without_the_training_data_operators(tmp_path, kept):
+    """A copy without the optional subpackage, with and without the pipeline's file."""
+    root = entry_module.ROOT
+    shutil.copytree(f"{root}/ruzi", tmp_path / "ruzi", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", *(name for name in kept if os.path.exists(f"{root}/{name}"))):
+        shutil.copy(f"{root}/{name}", tmp_path)
+    code = "import __spark_entry__ as e; assert 'filter_topk' in e.queries() and set(e.oracle_sql()) == set(e.queries()), e.queries().keys()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True)
+
+
 def plan_of(frame):
     return frame._jdf.queryExecution().explainString(frame._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
