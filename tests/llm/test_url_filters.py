@@ -1,6 +1,12 @@
 from __future__ import annotations
 
 import random
+import re
+from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
+
+import duckdb
+from pyspark.sql import functions as F
 
 from ruzi.llm import url_filters as uf
 from ruzi.llm.components import components
@@ -92,3 +98,95 @@ def test_links_behind_long_attributes(spark):
     ]
     got = {r.page_id: r.verdict for r in uf.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: "block", 2: "block", 3: "allow"}
+
+
+class Parsed(HTMLParser):
+    """The links of a page by a parser of the whole language."""
+
+    def __init__(self, url, html):
+        super().__init__()
+        self.url, self.base, self.found = url, None, []
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        first = {}
+        for name, value in attrs:
+            first.setdefault(name, value or "")
+        if tag == "base" and self.base is None and "href" in first:
+            to = urljoin(self.url, first["href"].strip())
+            self.base = to if urlsplit(to).netloc else self.url
+        if tag == "link" and "canonical" in first.get("rel", "").lower().split():
+            self.found.append(first.get("href", ""))
+        if tag == "meta" and first.get("http-equiv", "").strip().lower() == "refresh":
+            if m := re.match(r"\s*[\d.]*\s*[;,\s]\s*(?:url\s*=\s*)?(?:\"([^\"]*)|'([^']*)|(.*))", first.get("content", ""), re.I | re.S):
+                self.found.append(m[1] or m[2] or m[3] or "")
+
+    handle_startendtag = handle_starttag
+
+
+def keys_by_parser(url, html):
+    page, out = Parsed(url, html), set()
+    for to in page.found:
+        to = to.strip()
+        if to and not to.startswith("#"):
+            parts = urlsplit(urljoin(page.base or url, to))
+            if parts.netloc:
+                out.add(parts.netloc.lower() + (parts.path or "/") + (f"?{parts.query}" if parts.query else ""))
+    return out
+
+
+TARGETS = ["http://bad.net/x", "//a.io/1", "/top", "d", "../up/e", "./f/../g?x=1&amp;y=2", "?v=1", "#part", "", "mailto:a@b.cd", "HTTP://W.org/fr/#z", "/a/./b/..", " /padded "]
+OTHERS = [
+    "<p>text</p>", "<!-- <link rel=canonical href=/hidden> -->", "<script>'<link rel=canonical href=/js>'</script>", "<a title='a > b' href=x>",
+    '<meta name="x" content="<link rel=canonical href=/quoted>">', "<link rel=stylesheet href=/s.css>", "<LINKS rel=canonical href=/no>", "it's", "<br/>", "< link rel=canonical href=/no2>",
+]
+
+
+def random_page(rng):
+    out = []
+    for _ in range(rng.randint(0, 6)):
+        quote, to = rng.choice(['"', "'"]), rng.choice(TARGETS)
+        rel = rng.choice(["canonical", "CANONICAL", "alternate canonical", "canonical\tnofollow", "canonicalx", "alternate"])
+        rel_part, href = f"rel={quote}{rel}{quote}", f"href={quote}{to}{quote}"
+        out.append(rng.choice([
+            f"<link {rel_part} {href}>", f"<LINK\n{href} data-a='x>y' {rel_part} />", f"<link title={quote}rel=canonical href=/t{quote} {href}>",
+            f"<link disabled {rel_part} {href} href=/second>", f"<meta http-equiv=refresh content={quote}0; URL={to}{quote}>",
+            f"<meta content='5;url=\"{to}\"' http-equiv=' Refresh '>", f"<meta http-equiv=refresh content='{rng.choice(['3', '0,', '1.5 '])}{to}'>",
+            rng.choice(OTHERS), f"<base {href}>" if rng.random() < 0.3 else "<base target=_top>",
+        ]))
+    return "".join(out)
+
+
+def test_links_equal_a_parsers(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["http://h.io/p/q/r{}.html?z#f", "https://H{}.io", "http://h.io/{}/"]).format(i), random_page(rng)) for i in range(1500)]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    found = uf.links(pages).select("source", uf.key_of(F.col("target")).alias("key"))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.source, set()).add(r.key)
+    for _, url, html in rows:
+        assert got.get(url, set()) == keys_by_parser(url, html), html
+
+
+def test_verdicts_equal_sql_on_random_pages(spark, tmp_path):
+    rng = random.Random(13)
+    sites = ["h.io", "bad.net", "a.example.com", "w.org"]
+    rows = [(i, f"http://{rng.choice(sites)}{rng.choice(['', '/', '/de/x', '/fr/../y', '/p/q?v=1', '/p/./q'])}", random_page(rng)) for i in range(120)]
+    rows += [(900, "http://long.io/", f'<link title="{"q" * 70_000}" href="http://worse.net/x" rel="canonical">'), (901, None, None), (902, "x", "<link rel=canonical href=y>")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(uf.SQL).fetchall())
+    got = sorted(tuple(r) for r in uf.judge(spark.read.parquet(f"{tmp_path}/pages.parquet")).collect())
+    assert got == want
+    assert [r[4] for r in got if r[0] == 900] == ["block"]
+    assert {r[4] for r in got if r[3] is None} == {"allow", "block"}
+
+
+def test_tags_of_many_attributes(spark):
+    many = " ".join(f'a{i}="v{i}"' for i in range(30_000))
+    rows = [(1, "http://a.io/1", f'<link {many} href="http://bad.net/x" rel="canonical">'), (2, "http://b.io/1", "<link " + "x" * 500_000), (3, "http://c.io/1", "<a>" * 100_000)]
+    got = {r.page_id: r.verdict for r in uf.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow"}
