@@ -9,15 +9,20 @@ Base kinds, leftmost non-overlapping, failing matches dropped:
 The method adds weak candidates: ``id`` (a value assigned to a user, client or
 key id), ``key`` (40 characters of mixed base64) and ``endpoint`` (an address with
 a service's scheme).  Alone they mean nothing.  An interval join sweeps the parts
-of a text by position and reports a candidate only where a complementary part
+of a scope by position and reports a candidate only where a complementary part
 lies within ``SCOPE`` characters: an id or endpoint beside a secret, a secret
-beside an id or endpoint.  Base spans count as parts too.
+beside an id or endpoint.  Base assignments and access keys count as parts too;
+a run of hex digits by itself doesn't, as most are checksums and commits.
 
-DataFrame functions only: the pieces between matches and the matches themselves
-give the offsets.  Scale: texts are read once and never shuffled; the spans are
-written to the shared folder, and only rows that hold a weak candidate and a
-complementary part are exploded, by row, so copies don't gather.  The sweep is
-two sorted windows over the parts of one text, linear in their number.
+A scope ends at an empty line, at a section's heading in brackets on a line of its
+own and at a line of three or more dashes, so the parts of two accounts or hosts
+that stand in blocks of their own aren't linked.
+
+DataFrame functions only.  Matches and the text between them are exploded, and
+running sums over a text's matches give their offsets, so the work grows with the
+matches and not with their square.  Scale: texts are read once and never
+shuffled; what is shuffled are the matches, by row, so copies don't gather.  The
+sweep is two sorted windows over the parts of one scope.
 
 Defined results: a null or empty text has no spans; offsets count code points;
 repeated rows get equal spans; an empty table gives an empty result; other
@@ -41,7 +46,10 @@ PATTERNS = {
     "endpoint": r"""(?i:https?|jdbc:[a-z]{1,20}|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s3)://[^\x20\x09-\x0D"'<>]+""",
 }
 BASE, WEAK = ("assign", "access", "hex"), ("id", "key", "endpoint")
-ROLE = {"assign": "secret", "hex": "secret", "key": "secret", "access": "id", "id": "id", "endpoint": "endpoint"}
+KINDS = (*BASE, *WEAK)
+ROLE = {"assign": "secret", "key": "secret", "access": "id", "id": "id", "endpoint": "endpoint"}
+#: What ends a scope; looked for only in texts with weak candidates.
+BREAK = r"\n[\x20\t\r]*(?=\n)|(?m:^\[[^\]\n]+\][\x20\t\r]*$)|(?m:^-{3,}[\x20\t\r]*$)"
 #: Cheap tests that a text with a match must pass.
 HINT = {
     "assign": r"(?i:password|passwd|secret|token|api_?key)",
@@ -52,61 +60,61 @@ LEAST_VALUE = 6
 SCOPE = 200
 
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
-NO_SPANS = f"CAST(array() AS array<{SPAN}>)"
+#: A match by kind and place: the characters before it since the last, its own and its value's.
+MATCH = "struct<rank:int,place:int,gap:int,hit:int,value:int>"
+NO_MATCHES, NO_SPANS = f"CAST(array() AS array<{MATCH}>)", f"CAST(array() AS array<{SPAN}>)"
+BREAK_RANK = len(KINDS)
 
 
-def spans_of(text: Column, kind: str) -> Column:
-    """An array of structs start, rank, end and kind, by start."""
-    pattern = PATTERNS[kind]
+def matches(text: Column, rank: int, pattern: str, hint: str) -> Column:
+    """An array of MATCH, in the text's order."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == "assign" else hits
-    parts = F.arrays_zip(
-        F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), F.length).alias("gap"),
-        F.transform(hits, F.length).alias("hit"),
-        F.transform(values, F.length).alias("value"),
-    )
-    rank = (*BASE, *WEAK).index(kind)
-    start = F.struct(F.lit(0).alias("at"), F.expr(NO_SPANS).alias("found"))
-
-    def step(so_far: Column, part: Column) -> Column:
-        begin = so_far["at"] + part["gap"]
-        end = begin + part["hit"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
-        keep = part["value"] >= LEAST_VALUE if kind == "assign" else F.lit(True)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(so_far["found"], F.array(span))).otherwise(so_far["found"]).alias("found"))
-
-    found = F.aggregate(parts, start, step, lambda done: done["found"])
-    return F.when(text.rlike(HINT.get(kind, pattern)), found).otherwise(F.expr(NO_SPANS))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if KINDS[rank : rank + 1] == ("assign",) else hits
+    parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"), values.alias("value"))
+    found = F.transform(parts, lambda part, i: F.struct(
+        F.lit(rank).alias("rank"), i.cast("int").alias("place"),
+        *[F.length(part[name]).alias(name) for name in ("gap", "hit", "value")],
+    ))
+    return F.when(text.rlike(hint), found).otherwise(F.expr(NO_MATCHES))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, and the spans of all kinds as base and weak."""
+    """doc_id, row_key and the matches of all kinds and, where a part of the method's is among them, of breaks."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select(
-        "doc_id",
-        F.monotonically_increasing_id().alias("row_key"),
-        F.concat(*[spans_of(F.col("text"), kind) for kind in BASE]).alias("base"),
-        F.concat(*[spans_of(F.col("text"), kind) for kind in WEAK]).alias("weak"),
-    )
-
-
-def linked(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """link_key and linked: the weak spans of each row that have a complementary part within ``scope``."""
-    roles = F.create_map(*[F.lit(x) for pair in ROLE.items() for x in pair])
-    parts = rows.where(F.size("weak") > 0).select("row_key", F.explode(F.concat("base", "weak")).alias("span"))
-    parts = parts.select("row_key", "span", F.element_at(roles, F.col("span.kind")).alias("role"))
-    forth = Window.partitionBy("row_key").orderBy("span.start", "span.rank", "span.end")
-    back = Window.partitionBy("row_key").orderBy(F.desc("span.start"), F.desc("span.rank"), F.desc("span.end"))
+    found = [matches(F.col("text"), i, PATTERNS[kind], HINT.get(kind, PATTERNS[kind])) for i, kind in enumerate(KINDS)]
+    any_weak = "|".join(f"(?:{HINT.get(kind, PATTERNS[kind])})" for kind in WEAK)
+    found.append(matches(F.col("text"), BREAK_RANK, BREAK, rf"(?s:{any_weak})"))
+    return rows.select("doc_id", F.monotonically_increasing_id().alias("row_key"), F.concat(*found).alias("matches"))
+
+
+def spans_of(rows: DataFrame) -> DataFrame:
+    """doc_id, row_key, rank, start and end of each match, breaks included, and whether it counts."""
+    each = rows.where(F.size("matches") > 0).select("doc_id", "row_key", F.explode("matches").alias("m")).select("doc_id", "row_key", "m.*")
+    # All that follows goes by row, so the rows are dealt once.
+    in_order = Window.partitionBy("row_key", "rank").orderBy("place")
+    ends = F.sum(F.col("gap") + F.col("hit")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    spans = each.repartition("row_key").withColumn("end", ends).withColumn("start", F.col("end") - F.col("hit"))
+    counts = (F.col("rank") < BREAK_RANK) & ((F.col("rank") != BASE.index("assign")) | (F.col("value") >= LEAST_VALUE))
+    return spans.select("doc_id", "row_key", "rank", "start", "end", counts.alias("counts"))
+
+
+def linked(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """``kept`` for each match: base ones that count, and weak ones with a complementary part within ``scope``."""
+    so_far = Window.partitionBy("row_key").orderBy("start", F.desc("rank"), "end").rowsBetween(Window.unboundedPreceding, 0)
+    parts = spans.withColumn("scope_no", F.sum((F.col("rank") == BREAK_RANK).cast("int")).over(so_far))
+    role = F.create_map(*[F.lit(x) for kind, of in ROLE.items() for x in (KINDS.index(kind), of)])[F.col("rank")]
+    parts = parts.withColumn("role", F.when(F.col("counts"), role))
+    forth = Window.partitionBy("row_key", "scope_no").orderBy("start", "rank", "end").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("row_key", "scope_no").orderBy(F.desc("start"), F.desc("rank"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     near = {}
-    for role in ("secret", "id", "endpoint"):
-        ended = F.max(F.when(F.col("role") == role, F.col("span.end"))).over(forth.rowsBetween(Window.unboundedPreceding, -1))
-        begins = F.min(F.when(F.col("role") == role, F.col("span.start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
-        close = (F.col("span.start") - ended <= scope) | (begins - F.col("span.end") <= scope)
-        near[f"near_{role}"] = close
-    parts = parts.select("row_key", "span", "role", *[F.coalesce(value, F.lit(False)).alias(name) for name, value in near.items()])
+    for of in ("secret", "id", "endpoint"):
+        ended = F.max(F.when(F.col("role") == of, F.col("end"))).over(forth)
+        begins = F.min(F.when(F.col("role") == of, F.col("start"))).over(back)
+        near[of] = F.coalesce(F.col("start") - ended <= scope, F.lit(False)) | F.coalesce(begins - F.col("end") <= scope, F.lit(False))
+    parts = parts.withColumns({f"near_{of}": close for of, close in near.items()})
     beside = F.when(F.col("role") == "secret", F.col("near_id") | F.col("near_endpoint")).otherwise(F.col("near_secret"))
-    kept = parts.where(beside & F.col("span.kind").isin(*WEAK))
-    return kept.groupBy(F.col("row_key").alias("link_key")).agg(F.collect_list("span").alias("linked"))
+    kept = F.col("counts") & ((F.col("rank") < len(BASE)) | beside)
+    return parts.select("doc_id", "row_key", "rank", "start", "end", kept.alias("kept"))
 
 
 def joined(spans: Column) -> Column:
@@ -114,17 +122,20 @@ def joined(spans: Column) -> Column:
     return F.array_join(texts, ",")
 
 
-def count_of(kind: str) -> Column:
-    return F.size(F.filter("base", lambda span: span["kind"] == kind)).cast("long")
-
-
 def find(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """doc_id, a count for each base kind, base_sha256, spans and n_linked for each document."""
     rows = written(scanned(docs))
-    more = written(linked(rows, scope))
-    both = rows.join(more, F.col("row_key") == F.col("link_key"), "left").withColumn("linked", F.coalesce("linked", F.expr(NO_SPANS)))
-    counts = [count_of(kind).alias(f"n_{kind}") for kind in BASE]
-    return both.select(
+    kind = F.element_at(F.array(*[F.lit(kind) for kind in KINDS]), F.col("rank") + 1)
+    span = F.struct("start", "rank", "end", kind.alias("kind"))
+    with_spans = linked(spans_of(rows), scope).groupBy("row_key").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.collect_list(F.when(F.col("kept") & (F.col("rank") < len(BASE)), span)).alias("base"),
+        F.collect_list(F.when(F.col("kept"), span)).alias("every"),
+    )
+    quiet = rows.where(F.size("matches") == 0).select("doc_id", F.expr(NO_SPANS).alias("base"), F.expr(NO_SPANS).alias("every"))
+    found = quiet.unionByName(with_spans.select("doc_id", "base", "every"))
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in BASE]
+    return found.select(
         "doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        joined(F.concat("base", "linked")).alias("spans"), F.size("linked").cast("long").alias("n_linked"),
+        joined(F.col("every")).alias("spans"), (F.size("every") - F.size("base")).cast("long").alias("n_linked"),
     )
