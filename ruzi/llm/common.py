@@ -7,13 +7,17 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What all operators call a word: a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: How the names of intermediate tables begin.
+SCRATCH = "ruzi-scratch-"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One input table; read by Spark alone, so any file system will do."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -39,9 +43,37 @@ def written(df: DataFrame) -> DataFrame:
     costs a read of the files and no more.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
+    path = f"{shared_folder(spark)}/{SCRATCH}{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch_path = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of DataFrames that ``written`` gave, once all that is read from them has been written itself.
+
+    Spark's cleaner then drops the shuffle files behind them, too, as soon as the driver's garbage is collected.
+    """
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    frames[0].sparkSession._jvm.System.gc()
+
+
+def bounded_sample(df: DataFrame, order: Column, count: int, share: float) -> DataFrame:
+    """The ``count`` least rows by ``order``, numbers spread evenly from 0 to 1 (or clocks), of which about ``share`` holds them.
+
+    Rows beyond a margin over that share are dropped where they are read, so that what reaches
+    the driver is bounded by ``count`` and not by ``count`` for each partition.
+    """
+    margin = share * (1 + 6 / max(count, 1) ** 0.5)
+    return df.where(order <= margin).orderBy(order, *df.columns).limit(count)
+
+
+def even(*columns: Column | str) -> Column:
+    """A digest of columns as a number spread evenly from 0 to 1."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 52)) / float(1 << 52)
 
 
 def keyed(df: DataFrame) -> DataFrame:

@@ -5,19 +5,25 @@ three-word shingles.  Fingerprints within ``radius`` bits are linked, and the
 groups are the connected components of the links.
 
 * Equal fingerprints collapse first, so copies cost one row per task.
-* A vantage-point tree over a bounded sample of fingerprints splits the Hamming
-  space into shards.  A fingerprint has one home shard; by the triangle bound it
-  also visits each shard across a boundary that may hold a partner, and only from
-  the outer to the inner side, so that a pair meets once.
-* Each shard goes on splitting by vantage points in memory, with the same bounds,
-  down to blocks that are compared exactly.  Pairs are united at once: a shard
+* Vantage-point trees over a bounded sample of fingerprints split the Hamming
+  space into shards, one tree for each of ``PARTS`` runs of bits.  Of two fingerprints
+  within ``radius`` bits some run differs in ``radius // PARTS`` at most, so that is the
+  bound of the triangle by which a tree prunes.  A fingerprint has one home shard in each tree;
+  it also visits each shard across a boundary that may hold a partner, and only from
+  the outer to the inner side, so that a pair meets once.  With ``PARTS`` above the radius
+  the bound is 0 and nobody visits: rows shuffled per fingerprint stay ``PARTS`` at any size,
+  where one tree over all bits takes more as the corpus grows (README has the figures).
+* Each shard goes on splitting by vantage points over all bits in memory, where boundaries overlap by
+  the radius, down to blocks that are compared exactly.  Pairs are united at once: a shard
   returns an edge to its group's least member per linked fingerprint and never
   the pairs of a group.
 * Distributed rounds join the shards' groups.
 
-Scale: texts are read once and not shuffled (``deduplicated`` writes them once and shuffles them once); fingerprints (16 bytes a document)
+Scale: texts are read once and not shuffled; fingerprints (16 bytes a document)
 are written to the shared folder.  The sample has at most ``MAX_SAMPLE`` rows
-whatever the input.  No link, component or fingerprint of the corpus is collected.
+whatever the input, drawn below a threshold of the fingerprint's digest; beyond
+``MAX_SAMPLE / SAMPLE_PER_SHARD`` shards their size grows with the corpus.  No link,
+component or fingerprint of the corpus is collected.
 
 Defined results: a null, empty or blank text has fingerprint zero and is linked
 like any other; a group of documents without an id has a null component; repeated
@@ -37,10 +43,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruzi.llm.common import first_rows, keyed, map_batches, written
+from ruzi.llm.common import bounded_sample, discard, even, first_rows, keyed, map_batches, written
 from ruzi.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
+#: Runs of bits with a tree each.
+PARTS, BITS = 3, 64
 #: Fingerprints that a shard is meant to be home to.
 SHARD_SIZE = 4096
 #: Sampled fingerprints per shard, and at most.
@@ -66,6 +74,14 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of unsigned 64-bit hashes that are there already."""
+    counts = np.zeros(BITS, np.int64)
+    for low in range(0, len(hashes), CHUNK):
+        counts += np.unpackbits(hashes[low : low + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp, a signed long, of each row."""
 
@@ -79,50 +95,63 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, fp long")
 
 
+EVERY = np.uint64(2**BITS - 1)
+
+
+def masks(parts: int) -> list[np.uint64]:
+    """The bits of each part, runs of nearly equal length."""
+    edges = [i * BITS // parts for i in range(parts + 1)]
+    return [np.uint64((1 << high) - (1 << low)) for low, high in zip(edges, edges[1:])]
+
+
 class Split(NamedTuple):
-    """Inner side: distance to ``point`` at most ``bound``."""
+    """Inner side: distance to ``point`` within the ``mask`` at most ``bound``."""
 
     point: np.uint64
     bound: int
+    mask: np.uint64 = EVERY
+
+    def distance(self, found: np.ndarray) -> np.ndarray:
+        return np.bitwise_count((found ^ self.point) & self.mask).astype(np.int64)
 
 
-def choose_split(found: np.ndarray, radius: int, tries: int = 6) -> Split | None:
+def choose_split(found: np.ndarray, radius: int, mask: np.uint64 = EVERY, tries: int = 6) -> Split | None:
     """Of some vantage points and bounds, those with the fewest boundary rows for their evenness; None if no bound divides."""
     best, least = None, np.inf
     for i in np.linspace(0, len(found) - 1, tries).astype(int):
-        counts = np.bincount(np.bitwise_count(found ^ found[i]), minlength=65 + radius)
+        counts = np.bincount(np.bitwise_count((found ^ found[i]) & mask), minlength=65 + radius)
         inner = counts.cumsum()[:64] / len(found)
         crossing = np.array([counts[b + 1 : b + 1 + radius].sum() for b in range(64)]) / len(found)
         even = -(inner * np.log2(np.maximum(inner, 1e-12)) + (1 - inner) * np.log2(np.maximum(1 - inner, 1e-12)))
         cost = np.where((inner >= 0.15) & (inner <= 0.85), (crossing + 0.01) / np.maximum(even, 1e-12), np.inf)
         b = int(cost.argmin())
         if cost[b] < least:
-            best, least = Split(found[i], b), cost[b]
+            best, least = Split(found[i], b, mask), cost[b]
     return best
 
 
 def divide(found: np.ndarray, home: np.ndarray, split: Split, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Who goes on to the inner and to the outer side, as masks."""
-    far = np.bitwise_count(found ^ split.point).astype(np.int64)
+    far = split.distance(found)
     inner = (far <= split.bound) | (far <= split.bound + radius)
     outer = (far > split.bound) | (~home & (far > split.bound - radius))
     return inner, outer
 
 
 class Tree:
-    """The shards: a vantage-point tree over a sample."""
+    """The shards: a vantage-point tree over a sample, by the distances within a mask."""
 
-    def __init__(self, sample: np.ndarray, shards: int, radius: int = RADIUS):
-        self.radius = radius
+    def __init__(self, sample: np.ndarray, shards: int, radius: int = RADIUS, mask: np.uint64 = EVERY):
+        self.radius, self.mask = radius, mask
         self.splits: list[tuple[Split, int, int] | None] = []
         self._grow(sample, max(1, len(sample) // max(1, shards)))
 
     def _grow(self, found: np.ndarray, least: int) -> int:
         at = len(self.splits)
         self.splits.append(None)
-        split = choose_split(found, self.radius) if len(found) >= 2 * least and len(found) > 2 else None
+        split = choose_split(found, self.radius, self.mask) if len(found) >= 2 * least and len(found) > 2 else None
         if split is not None:
-            inner = np.bitwise_count(found ^ split.point) <= split.bound
+            inner = split.distance(found) <= split.bound
             self.splits[at] = (split, self._grow(found[inner], least), self._grow(found[~inner], least))
         return at
 
@@ -138,7 +167,7 @@ class Tree:
                 continue
             split, left, right = self.splits[at]
             inner, outer = divide(found[rows], home, split, self.radius)
-            at_home_in = home & (np.bitwise_count(found[rows] ^ split.point) <= split.bound)
+            at_home_in = home & (split.distance(found[rows]) <= split.bound)
             todo.append((left, rows[inner], at_home_in[inner]))
             todo.append((right, rows[outer], (home & ~at_home_in)[outer]))
         return tuple(np.concatenate(part) for part in zip(*out)) if out else (np.zeros(0, int),) * 3
@@ -181,7 +210,7 @@ def shard_groups(found: np.ndarray, home: np.ndarray, radius: int = RADIUS, bloc
             inner, outer = divide(found[rows], at_home, split, radius)
             # Where nearly all cross the boundary, splitting makes more work than it saves.
             if inner.sum() + outer.sum() <= 1.8 * len(rows):
-                home_in = at_home & (np.bitwise_count(found[rows] ^ split.point) <= split.bound)
+                home_in = at_home & (split.distance(found[rows]) <= split.bound)
                 todo += [rows[inner], rows[outer]]
                 homes += [home_in[inner], (at_home & ~home_in)[outer]]
                 continue
@@ -194,18 +223,21 @@ def shard_groups(found: np.ndarray, home: np.ndarray, radius: int = RADIUS, bloc
     return groups.roots(np.arange(len(found)))
 
 
-def links(distinct: DataFrame, count: int, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> DataFrame:
+def links(distinct: DataFrame, count: int, radius: int = RADIUS, shard_size: int = SHARD_SIZE, parts: int = PARTS) -> DataFrame:
     """u and v: for each linked fingerprint of column fp, one edge per shard to its group's least there."""
     shards = max(1, -(-count // shard_size))
     size = min(MAX_SAMPLE, SAMPLE_PER_SHARD * shards)
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(size).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    tree = Tree(sample, shards, radius)
+    sample = bounded_sample(distinct.select("fp"), even("fp"), size, size / max(1, count)).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    trees = [Tree(sample, shards, radius // parts, mask) for mask in masks(parts)]
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = batch.column(0).to_numpy().view(np.uint64)
-            rows, shard, home = tree.assign(found)
-            columns = [shard.astype(np.int32), found[rows].view(np.int64), home.astype(bool)]
+            found, out = batch.column(0).to_numpy().view(np.uint64), []
+            for i, tree in enumerate(trees):
+                rows, shard, home = tree.assign(found)
+                out.append((shard * len(trees) + i, found[rows].view(np.int64), home))
+            shard, fp, home = (np.concatenate(column) for column in zip(*out))
+            columns = [shard.astype(np.int64), fp, home.astype(bool)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shard", "fp", "home"])
 
         return work
@@ -217,22 +249,24 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS, shard_size: int
         linked = root != np.arange(len(found))
         return pd.DataFrame({"u": found[linked], "v": found[root[linked]]})
 
-    return map_batches(distinct.select("fp"), make, "shard int, fp long, home boolean").groupBy("shard").applyInPandas(group, "u long, v long")
+    return map_batches(distinct.select("fp"), make, "shard long, fp long, home boolean").groupBy("shard").applyInPandas(group, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id of each row; component_id is the least doc_id that links reach."""
     marked = written(fingerprints(docs))
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    labels = components(written(links(distinct, distinct.count(), radius)))
+    edges = written(links(distinct, distinct.count(), radius))
+    labels = components(edges)
     linked = distinct.join(labels, F.col("fp") == F.col("node")).select("fp", "first_id", "component")
     least = linked.groupBy("component").agg(F.min("first_id").alias("least_id"))
     named = written(linked.join(least, "component").select(F.col("fp").alias("linked_fp"), "least_id"))
-    names = distinct.join(named, F.col("fp") == F.col("linked_fp"), "left").select(
+    names = written(distinct.join(named, F.col("fp") == F.col("linked_fp"), "left").select(
         F.col("fp").alias("name_fp"),
         F.when(F.col("linked_fp").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id"),
-    )
-    return marked.join(written(names), F.col("fp") == F.col("name_fp")).select("doc_id", "fp", "component_id")
+    ))
+    discard(distinct, edges, labels, named)
+    return marked.join(names, F.col("fp") == F.col("name_fp")).select("doc_id", "fp", "component_id")
 
 
 def hex_of(fp: Column) -> Column:

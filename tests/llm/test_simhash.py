@@ -69,6 +69,29 @@ def test_shards_lose_no_pair():
         assert groups.roots(np.arange(len(found))).tolist() == want
 
 
+def test_trees_over_parts_lose_no_pair_and_visits_stay_flat():
+    rng = random.Random(10)
+    for radius, parts in ((2, 3), (2, 2), (3, 2), (5, 3)):
+        found = np.concatenate([clustered(rng, 300, 3, radius + 2), clustered(rng, 1, 400, 3)])
+        found = np.unique(found)
+        want = roots_by_all_pairs(found, radius=radius)
+        groups = sh.Groups(len(found))
+        for mask in sh.masks(parts):
+            index, shard, home = sh.Tree(found[::3], 12, radius // parts, mask).assign(found)
+            assert radius >= parts or len(index) == len(found)
+            for number in set(shard.tolist()):
+                rows = np.sort(index[shard == number])
+                at_home = np.isin(rows, index[(shard == number) & home.astype(bool)])
+                groups.unite(rows, rows[sh.shard_groups(found[rows], at_home, radius, block=16)])
+        assert groups.roots(np.arange(len(found))).tolist() == want
+    assert sum(map(int, sh.masks(3))) == 2**64 - 1
+
+
+def test_majority_equals_the_fingerprint():
+    hashes = [xxhash.xxh64(f"{i} {i + 1} {i + 2}".encode(), seed=42).intdigest() for i in range(90)]
+    assert sh.majority(np.array(hashes, np.uint64)) == sh.fingerprint(" ".join(map(str, range(92))))
+
+
 def brute_components(rows):
     ids = [(row[0], plain_fingerprint(row[1] or "")) for row in rows]
     found = np.array([fp for _, fp in ids], np.uint64)
