@@ -1,25 +1,30 @@
-"""Near-duplicates by the exact Jaccard similarity of five-word shingles.
+"""The exact side of near-duplicate removal: Jaccard similarity of five-word shingles.
 
 Two documents are linked if they share at least ``SIMILAR`` of the shingles that
 either has; the groups are the connected components of the links.  No pair is
 left to chance:
 
 * Texts of equal shingle sets collapse first.
-* Shingles have one order for all documents, rare ones first.  Of ``n`` shingles
-  two linked documents share one of the first ``n // 5 + 1``, so documents meet in
-  the buckets of those.  Places in that order, sizes, and the parities of the
-  shingles' bits bound from above what a pair can share; what stays is compared
-  shingle by shingle.
-* Pairs are compared in two steps: neighbours by size in a bucket, a number that
-  grows as the bucket does, and then pairs that those links have not yet joined.
+* :mod:`ruzi.llm.simhash` finds partners by its vantage-point trees over the
+  fingerprints of the same shingles, and the rows nearest by size in a shared bucket
+  (below) are tried, too.  What the exact check confirms is united.
+* Trees prune only within a few bits, and similar texts may be 12 apart, so the rest
+  comes another way.  Shingles have one order for all documents, rare ones first.  Of
+  ``n`` shingles two linked documents share one of the first ``n // 5 + 1``, so they
+  meet in the buckets of those.  Buckets whose rows are united by now are done; in
+  the others, places in that order, sizes and the parities of the shingles' bits
+  bound from above what a pair can share, and what stays is compared shingle by
+  shingle.
 
 The order comes from counts within batches of rows, which bear upon the number of pairs to compare
 and never on which are linked.
 
 Scale: the rows are written once with a key, and shuffled once when the kept ones
-are taken.  Buckets shuffle 24 bytes for a fifth of the words.  Shingle sets are
-made for documents of pairs within all bounds only.  ``MAX_COMMON`` shingles are
-collected, whatever the input.
+are taken.  Buckets shuffle 32 bytes before compression for a fifth of the words, and
+a bucket of many groups is compared block by block, so that no task gets all of it.
+Shingle sets are made for documents of pairs within all bounds only.  ``MAX_COMMON``
+shingles and a bitmap of ``SLOTS`` bits are collected, whatever the input.
+Intermediate tables are deleted once they have been used.
 
 Defined results: case and white space don't matter; a text of less than five words
 is one shingle, and so are null, empty and blank texts, which are equal; an empty
@@ -34,18 +39,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ruzi.llm.common import first_rows, keyed, map_batches, written
+from ruzi.llm import simhash
+from ruzi.llm.common import discard, first_rows, keyed, map_batches, written
 from ruzi.llm.components import components
 
 #: Similar: shared / all >= SIMILAR, as a fraction of whole numbers.
 SHINGLE, SEED, SIMILAR = 5, 42, (4, 5)
 #: Documents counted together for the order, and how many common shingles it puts last.
 COUNTED, MAX_COMMON = 4096, 1 << 17
-#: Rows that a shard of buckets is meant to hold, and slots by which texts to read again are chosen.
-SHARD_ROWS, SLOTS = 200_000, 1 << 22
+#: Rows that a shard of buckets is meant to hold, rows of a bucket compared as one block, and slots by which texts to read again are chosen.
+SHARD_ROWS, BLOCK_ROWS, SLOTS = 200_000, 4096, 1 << 22
+#: Bits of the parities by which pairs of a bucket are told apart, and neighbours tried at first.
+SKETCH, NEAR = 512, 2
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -78,9 +86,9 @@ def first_of(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.nd
     return np.concatenate([rare, frequent[np.lexsort((frequent, often))]])[:many]
 
 
-def parity_of(found: np.ndarray) -> bytes:
+def parity_of(found: np.ndarray, bits: int | None = None) -> bytes:
     """For each value of the shingles' low bits, whether an odd number of them has it; as many bits as shingles or more."""
-    bits = max(64, 1 << (len(found) - 1).bit_length())
+    bits = bits or max(64, 1 << (len(found) - 1).bit_length())
     return np.packbits(np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
@@ -114,77 +122,123 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return values[order], found["count"].to_numpy(np.int64)[order]
 
 
+SIGNS = "key long, doc_id long, tie long, node long, size int, fp long, parity binary, sketch binary, first array<long>"
+
+
 def signatures(rows: DataFrame) -> DataFrame:
-    """key, doc_id, tie (a text's hash), node (of equal sets), size, parity and first shingles of each row."""
+    """key, doc_id, tie (a text's hash), node (of equal sets), size, fingerprint, parity, sketch and first shingles of each row."""
     common, counts = common_shingles(rows)
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nodes, sizes, parities, first = [], [], [], []
+            nodes, sizes, prints, parities, sketches, first = [], [], [], [], [], []
             for value in batch.column(3):
                 found = shingles(value.as_py() or "")
                 nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()))
                 sizes.append(len(found))
+                prints.append(simhash.majority(found))
                 parities.append(parity_of(found))
+                sketches.append(parity_of(found, SKETCH))
                 first.append(first_of(found, common, counts).view(np.int64))
             columns = [
                 *(batch.column(i) for i in range(3)),
                 pa.array(np.array(nodes, np.uint64).view(np.int64)),
                 pa.array(sizes, pa.int32()),
+                pa.array(np.array(prints, np.uint64).view(np.int64)),
                 pa.array(parities, pa.binary()),
+                pa.array(sketches, pa.binary()),
                 pa.array(first, pa.list_(pa.int64())),
             ]
-            return pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "tie", "node", "size", "parity", "first"])
+            return pa.RecordBatch.from_arrays(columns, names=[field.split()[0] for field in SIGNS.split(", ")])
 
         return work
 
     narrow = rows.select("key", "doc_id", F.xxhash64("text").alias("tie"), "text")
-    return map_batches(narrow, make, "key long, doc_id long, tie long, node long, size int, parity binary, first array<long>")
+    return map_batches(narrow, make, SIGNS)
 
 
-def pairs_of(bucket: np.ndarray, size: np.ndarray, place: np.ndarray, group: np.ndarray, steps: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Rows, sorted by bucket and size, that share a bucket and may be similar, of different groups, at most ``steps`` apart."""
-    left, right, at, step = [], [], np.arange(len(bucket)), 1
-    while len(at) and (steps is None or step <= steps):
-        at = at[at + step < len(bucket)]
-        at = at[bucket[at] == bucket[at + step]]
-        # Sizes ascend, so whoever is too small for this one is for all after it.
-        at = at[are_similar(size[at], size[at], size[at + step])]
-        other = at + step
-        most = np.minimum(size[at] - place[at], size[other] - place[other])
-        may = (group[at] != group[other]) & are_similar(most, size[at], size[other])
-        left.append(at[may])
-        right.append(other[may])
-        step += 1
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+def shared_buckets(reps: DataFrame) -> DataFrame:
+    """bucket, key, size and place of the first shingles that two rows at least have."""
+    each = reps.select("size", "key", F.posexplode("first").alias("place", "bucket")).select("bucket", "key", "size", "place")
+    return each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1").drop("n")
+
 
+def may_share(size_a, place_a, size_b, place_b):
+    """Whether rows that meet at those places of their orders can be similar; for columns as for arrays."""
+    least = F.least if isinstance(size_a, F.Column) else np.minimum
+    return are_similar(least(size_a - place_a, size_b - place_b), size_a, size_b)
 
-def shared_buckets(reps: DataFrame, count: int) -> DataFrame:
-    """shard, bucket, key, size and place of the first shingles, about ``count``, that two rows at least have."""
-    shards = max(1, -(-count // SHARD_ROWS))
-    each = reps.select("key", "size", F.posexplode("first").alias("place", "bucket"))
-    each = each.select(F.pmod(F.xxhash64("bucket"), F.lit(shards)).cast("int").alias("shard"), "bucket", "key", "size", "place")
 
-    def shared(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows[rows["bucket"].duplicated(keep=False)]
+def neighbours(buckets: DataFrame, steps: int = NEAR) -> DataFrame:
+    """u and v: rows that are next to each other by size in a bucket, up to ``steps`` apart."""
+    in_order = Window.partitionBy("bucket").orderBy("size", "key")
+    this = F.struct("key", "size", "place")
+    pairs = buckets.select(this.alias("a"), F.array(*[F.lead(this, i).over(in_order) for i in range(1, steps + 1)]).alias("next"))
+    pairs = pairs.select("a", F.explode("next").alias("b"))
+    pairs = pairs.where(may_share(F.col("a.size"), F.col("a.place"), F.col("b.size"), F.col("b.place")))
+    return pairs.select(F.least("a.key", "b.key").alias("u"), F.greatest("a.key", "b.key").alias("v"))
 
-    return each.groupBy("shard").applyInPandas(shared, "shard int, bucket long, key long, size int, place int")
 
+def by_fingerprint(reps: DataFrame) -> DataFrame:
+    """u and v: rows whose fingerprints the vantage-point trees link, each to the first row of its partner."""
+    prints = written(reps.groupBy("fp").agg(F.min("key").alias("first_key")))
+    linked = written(simhash.links(prints.select("fp"), prints.count()))
+    same = reps.select("key", "fp").join(prints, "fp").where(F.col("key") != F.col("first_key")).select("key", "first_key")
+    ends = prints.select(F.col("fp").alias("u"), F.col("first_key").alias("a")), prints.select(F.col("fp").alias("v"), F.col("first_key").alias("b"))
+    apart = linked.distinct().join(ends[0], "u").join(ends[1], "v").select("a", "b")
+    return same.union(apart).select(F.least("key", "first_key").alias("u"), F.greatest("key", "first_key").alias("v"))
 
-def candidates(buckets: DataFrame, steps: int | None) -> DataFrame:
-    """u and v, keys of rows of different groups (column group) that may be similar."""
+
+def pairs_of(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of rows of one cell (columns cell, lo, hi, block, key, size, place, group, sketch) that all bounds let be similar.
+
+    Rows of different blocks are paired if the cell is for two blocks, and all rows if it is for one.
+    """
+    rows = rows.sort_values(["bucket", "lo", "hi", "size", "key"], ignore_index=True)
+    cell = rows.groupby(["bucket", "lo", "hi"], sort=False).ngroup().to_numpy()
+    key, size, place, group, block = (rows[name].to_numpy(np.int64) for name in ("key", "size", "place", "group", "block"))
+    crossed = (rows["lo"] != rows["hi"]).to_numpy()
+    sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
+    left, right, at, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(rows)), 1
+    while len(at):
+        at = at[at + step < len(rows)]
+        at = at[cell[at] == cell[at + step]]
+        # Sizes ascend, so whoever is too small for this one is for all after it.
+        at = at[are_similar(size[at], size[at], size[at + step])]
+        a = at[(group[at] != group[at + step]) & (~crossed[at] | (block[at] != block[at + step]))]
+        b = a + step
+        may = may_share(size[a], place[a], size[b], place[b])
+        a, b = a[may], b[may]
+        both = size[a] + size[b]
+        apart = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64)
+        may = are_similar((both - apart) / 2, both, 0)
+        left.append(key[a[may]])
+        right.append(key[b[may]])
+        step += 1
+    left, right = np.concatenate(left), np.concatenate(right)
+    return np.minimum(left, right), np.maximum(left, right)
+
+
+def rest_of_buckets(buckets: DataFrame, signs: DataFrame) -> DataFrame:
+    """u and v: pairs of rows of different groups (column group) that share a bucket and may be similar."""
+    whole = Window.partitionBy("bucket")
+    mixed = buckets.withColumns({
+        "low": F.min("group").over(whole), "high": F.max("group").over(whole), "n": F.count(F.lit(1)).over(whole),
+    }).where("low < high").drop("low", "high")
+    mixed = written(mixed.join(signs.select("key", "sketch"), "key"))
+    blocks = F.ceil(F.col("n") / BLOCK_ROWS)
+    cells = mixed.withColumn("block", F.pmod(F.xxhash64("key"), blocks.cast("long")))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))))
+    cells = cells.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    shards = max(1, -(-mixed.count() // SHARD_ROWS))
+    shard = F.pmod(F.xxhash64("bucket", "lo", "hi"), F.lit(shards)).cast("int").alias("shard")
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows.groupby("bucket")["group"].transform("nunique") > 1]
-        rows = rows.sort_values(["bucket", "size", "key"])
-        columns = [rows[name].to_numpy(np.int64) for name in ("bucket", "size", "place", "group")]
-        left, right = pairs_of(*columns, steps)
-        key = rows["key"].to_numpy(np.int64)
-        found = pd.DataFrame({"u": np.minimum(key[left], key[right]), "v": np.maximum(key[left], key[right])})
-        return found.drop_duplicates()
+        u, v = pairs_of(rows)
+        return pd.DataFrame({"u": u, "v": v}).drop_duplicates()
 
-    return buckets.groupBy("shard").applyInPandas(work, "u long, v long").distinct()
+    narrow = cells.select(shard, "bucket", "lo", "hi", "block", "key", "size", "place", "group", "sketch")
+    return narrow.groupBy("shard").applyInPandas(work, "u long, v long").distinct()
 
 
 def with_both(pairs: DataFrame, of: DataFrame, names: list[str]) -> DataFrame:
@@ -228,24 +282,31 @@ def similar(pairs: DataFrame, signs: DataFrame, rows: DataFrame) -> DataFrame:
 
     may = written(map_batches(with_both(pairs, signs, ["size", "parity"]), bounded, "u long, v long"))
     # Texts aren't shuffled: whose slot is an end's gets its set, and the join drops those that came by chance.
-    slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS)).cast("int").alias("slot")
-    ends = may.select(F.col("u").alias("key")).union(may.select("v"))
+    slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS)).cast("int")
+    ends = may.select(F.col("u").alias("key")).union(may.select("v")).select((slot + 1).alias("bit"))
+    maps = ends.groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     chosen = np.zeros(SLOTS, bool)
-    chosen[ends.select(slot).distinct().toPandas()["slot"].to_numpy(np.int64)] = True
-    found = written(map_batches(rows.select("key", "text", slot), sets, "key long, found binary"))
-    return map_batches(with_both(may, found, ["found"]), compared, "u long, v long")
+    for at, bits in maps.collect():
+        found = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), bitorder="little").astype(bool)
+        chosen[(at - 1) * len(found) : at * len(found)] = found
+    found = written(map_batches(rows.select("key", "text", slot.alias("slot")), sets, "key long, found binary"))
+    same = written(map_batches(with_both(may, found, ["found"]), compared, "u long, v long"))
+    discard(may, found)
+    return same
 
 
 def links(reps: DataFrame, signs: DataFrame, rows: DataFrame) -> DataFrame:
-    """u and v, keys, with the components of all similar pairs of ``reps`` (key, size and first shingles of different sets)."""
-    count = signs.agg(F.sum(F.size("first").cast("long"))).first()[0] or 0
-    buckets = written(shared_buckets(reps, count))
-    near = written(candidates(buckets.withColumn("group", F.col("key")), 2))
-    linked = written(similar(near, signs, rows))
+    """u and v, keys, with the components of all similar pairs of ``reps`` (key, size, fp and first shingles of different sets)."""
+    buckets = written(shared_buckets(reps))
+    near = written(by_fingerprint(reps).union(neighbours(buckets)).distinct())
+    linked = similar(near, signs, rows)
     labels = components(linked)
     joined = buckets.join(labels, F.col("key") == F.col("node"), "left").withColumn("group", F.coalesce("component", "key"))
-    rest = written(candidates(joined.drop("node", "component"), None).join(near, ["u", "v"], "left_anti"))
-    return linked.union(written(similar(rest, signs, rows)))
+    rest = written(rest_of_buckets(joined.drop("node", "component"), signs).join(near, ["u", "v"], "left_anti"))
+    discard(buckets, near, labels)
+    more = similar(rest, signs, rows)
+    discard(rest)
+    return linked.union(more)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -259,8 +320,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie", "key")
     nodes = written(signs.groupBy("node").agg(F.min(order).alias("first_row")))
     names = nodes.select(F.col("first_row.key").alias("rep"))
-    reps = signs.select("key", "size", "first").join(names, F.col("key") == F.col("rep"), "left_semi")
-    labels = components(written(links(reps, signs, rows))).withColumnRenamed("node", "linked")
+    reps = signs.select("key", "size", "fp", "first").join(names, F.col("key") == F.col("rep"), "left_semi")
+    labels = components(links(reps, signs, rows)).withColumnRenamed("node", "linked")
     groups = nodes.join(labels, F.col("first_row.key") == F.col("linked"), "left")
     first = groups.groupBy(F.coalesce("component", "first_row.key")).agg(F.min("first_row").alias("first_row"))
-    return first_rows(kept, first.select("first_row.key"))
+    kept = first_rows(kept, first.select("first_row.key"))
+    discard(signs, nodes)
+    return kept

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 from cases import DOC_SCHEMA, edge_rows
 
 import corpus_pipeline as cp
@@ -90,3 +91,38 @@ def test_bounds_keep_similar_pairs():
                 for common in (none, half):
                     assert set(rs.first_of(a, *common).tolist()) & set(rs.first_of(b, *common).tolist())
                 assert rs.least_apart(rs.parity_of(a), rs.parity_of(b)) <= len(a) + len(b) - 2 * shared
+
+
+def test_pairs_of_blocks_lose_no_similar_pair():
+    """Cells of one block and of two give every similar pair of a bucket, united groups left out."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(40) > 0.06], rng.integers(0, 1 << 63, int(rng.integers(0, 4))).astype(np.uint64)])) for _ in range(60)]
+    rows = []
+    for key, found in enumerate(sets):
+        block = key % 3
+        for other in range(3):
+            rows.append((7, min(block, other), max(block, other), block, key, len(found), 0, key // 2, rs.parity_of(found, rs.SKETCH)))
+    frame = pd.DataFrame(rows, columns=["bucket", "lo", "hi", "block", "key", "size", "place", "group", "sketch"])
+    got = set(zip(*(part.tolist() for part in rs.pairs_of(frame))))
+    want = {
+        (a, b) for a in range(60) for b in range(a + 1, 60)
+        if a // 2 != b // 2 and rs.are_similar(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]))
+    }
+    assert want and want <= got
+
+
+def test_blocks_of_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(rs, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(rs, "SHARD_ROWS", 50)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    base = [rng.choice(words) for _ in range(40)]
+    rows = []
+    for i in range(120):
+        copy = list(base)
+        for at in rng.sample(range(40), rng.randint(0, 3)):
+            copy[at] = f"new{rng.random()}"
+        rows.append((i, " ".join(copy), "en", "s", 1))
+    got = cp.near_duplicates(spark, spark.createDataFrame(rows, DOC_SCHEMA), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r[0] for r in brute_first(rows))
