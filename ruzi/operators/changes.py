@@ -4,21 +4,19 @@ from __future__ import annotations
 
 from dataclasses import replace
 from functools import reduce
-from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ruzi.catalog import PRESENT, ROW, Buffer, Catalog, Table, fits
+from ruzi.catalog import PRESENT, ROW, Catalog, Table
 from ruzi.errors import EngineError
-from ruzi.functions.values import SPARK_TYPES, tagged
+from ruzi.functions.values import plain
 from ruzi.plans import ast
 from ruzi.plans.binder import Binder
 from ruzi.sources.store import settled
 
-#: Rewrites of a table after which its lineage is cut.
-REWRITES = 16
+#: Rewrites of a table after which its lineage is cut, and rows that a deletion logs one by one at most.
+REWRITES, LOGGED = 16, 1000
 
 
 def matching(catalog: Catalog, table: Table, where: tuple[ast.Predicate, ...]) -> Column:
@@ -31,8 +29,7 @@ def matching(catalog: Catalog, table: Table, where: tuple[ast.Predicate, ...]) -
 def rewritten(table: Table, scan: DataFrame) -> Table:
     """A table whose frame is a changed scan of it."""
     names = {"t0_row": ROW, "t0_present": PRESENT} | {f"t0_{i}": f"c{i}" for i in range(len(table.columns))}
-    frame = scan.select(*[F.col(old).alias(new) for old, new in names.items()])
-    return short(replace(table, frame=frame, pending=Buffer(), rewrites=table.rewrites + 1))
+    return short(table.with_frame(scan.select(*[F.col(old).alias(new) for old, new in names.items()])))
 
 
 def short(table: Table) -> Table:
@@ -41,42 +38,27 @@ def short(table: Table) -> Table:
     return table if table.rewrites < REWRITES else replace(table, frame=settled(table.frame), rewrites=1)
 
 
-def literal(kind: str, value: Any) -> Column:
-    """A value as a column of its kind."""
-    if not fits(kind, value):
-        raise EngineError("E_TYPE", f"{value!r} isn't a {kind}")
-    kind_of = SPARK_TYPES[kind]
-    if value is None or not isinstance(kind_of, T.StructType):
-        return F.lit(value).cast(kind_of)
-    return F.struct(*[F.lit(part).cast(f.dataType).alias(f.name) for part, f in zip(tagged(value), kind_of.fields)])
-
-
 def updated(spark: SparkSession, catalog: Catalog, statement: ast.Update) -> Table:
-    """The table with exactly one row changed."""
+    """The table with exactly one row changed: read, and logged as it is then."""
     table = catalog.table(statement.table)
     table.writable()
     grown = replace(table, columns=table.checked(statement.changes))
-    match = matching(catalog, table, statement.where)
-    found = table.scan(spark, "t0", True).where(match).select("t0_row").limit(2).collect()
+    found = table.scan(spark, "t0", True).where(matching(catalog, table, statement.where)).limit(2).collect()
     if len(found) != 1:
         code, what = ("E_DUPLICATE", "more than one row matches") if found else ("E_NOT_FOUND", "no row matches")
         raise EngineError(code, f"hindura changes exactly one row of '{table.name}', but {what}")
-    hit = F.col("t0_row") == found[0][0]
-    changes = {}
-    for name, value in statement.changes.items():
-        place = grown.names.index(name)
-        changes[f"t0_{place}"] = F.when(hit, literal(grown.columns[place].kind, value)).otherwise(F.col(f"t0_{place}"))
-    names = F.lit(list(statement.changes)).cast("array<string>")
-    changes["t0_present"] = F.when(hit, F.array_union("t0_present", names)).otherwise(F.col("t0_present"))
-    return rewritten(grown, grown.scan(spark, "t0", True).withColumns(changes))
+    row = {name: plain(found[0][f"t0_{table.names.index(name)}"]) for name in found[0]["t0_present"]}
+    return short(grown.logged(spark, [(found[0]["t0_row"], row | statement.changes)]))
 
 
 def deleted(spark: SparkSession, catalog: Catalog, statement: ast.Delete) -> tuple[Table, int]:
-    """The table without the rows that match, and how many there were."""
+    """The table without the rows that match, and how many there were; few of them are logged, many need a new frame."""
     table = catalog.table(statement.table)
     table.writable()
     match, scan = matching(catalog, table, statement.where), table.scan(spark, "t0", True)
-    count = scan.where(match).count()
-    if not count:
+    few = scan.where(match).select("t0_row").limit(LOGGED + 1).collect()
+    if not few:
         raise EngineError("E_NOT_FOUND", f"no row of '{table.name}' matches")
-    return rewritten(table, scan.where(~match)), count
+    if len(few) <= LOGGED:
+        return short(table.logged(spark, [(row[0], None) for row in few])), len(few)
+    return rewritten(table, scan.where(~match)), scan.where(match).count()

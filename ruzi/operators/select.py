@@ -110,7 +110,7 @@ def aggregate(binder: Binder, item: ast.Aggregate) -> Column:
 
 
 def grouped(binder: Binder, select: ast.Select, frame: DataFrame, order: list[Column]) -> tuple[DataFrame, list[Output], list[Column]]:
-    """Groups in first-seen order, which is the least position of each."""
+    """Groups in first-seen order, which is the least position of each, unless the sort tells all groups apart."""
     keys = select.group or ()
     for item in select.columns:
         if isinstance(item, ast.ColumnRef) and item not in keys:
@@ -143,6 +143,13 @@ def grouped(binder: Binder, select: ast.Select, frame: DataFrame, order: list[Co
     return result, outputs, sorts + ([F.col("first_seen")] if order and keys else [])
 
 
+def sorts_groups_apart(binder: Binder, select: ast.Select) -> bool:
+    """Whether the sort names every grouping column, so that no two groups tie."""
+    place = lambda ref: (binder.find(ref).prefix, ref.name)
+    sorted_by = {place(key.item) for key in select.order if isinstance(key.item, ast.ColumnRef)}
+    return bool(select.group) and {place(key) for key in select.group} <= sorted_by
+
+
 def planned(spark: SparkSession, catalog: Catalog, select: ast.Select, ordered: bool = False) -> Plan:
     """The DataFrame of a SELECT; ``ordered`` asks for stored order where the statement names none."""
     binder = Binder(catalog, select.tables)
@@ -158,6 +165,7 @@ def planned(spark: SparkSession, catalog: Catalog, select: ast.Select, ordered:
     if not shaped and any(isinstance(key.item, ast.Aggregate) for key in select.order):
         raise EngineError("E_TYPE", "tondeka can sort by bara, teranya, nto or nini only after koranya")
     positions = ordered or select.limit is not None and not (shaped and not select.group)
+    positions = positions and not (shaped and sorts_groups_apart(binder, select))
     frames = [i.table.scan(spark, i.prefix, positions) for i in binder.inputs]
     frame = joined(binder, frames, bound)
     if impossible(select.where):

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ruzi.database import Database
+from ruzi.errors import EngineError
 from ruzi.model import model
+from ruzi.sources import store
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -56,13 +60,13 @@ def changed(name: str, script: str, select: str, params: dict[str, Any] | None =
 def created(spark: SparkSession, folder: str) -> DataFrame:
     database = Database.memory(spark)
     database.execute("""
-        kora itsinda t (id umubare, izina ijambo, yize ukuri)  # declared
+        kora itsinda t (id umubare, umutwe ijambo, byasomwe ukuri)  # declared
         kora urutonde t_id muri t (id)
-        shira muri t { id: 1, izina: "Aline", yize: nibyo };
-        shira muri t (id, izina) agaciro (-2.5, 'Ke\\'za')
-        shira muri t { "id": 3, yize: sibyo, }
+        shira muri t { id: 1, umutwe: "Umuganda", byasomwe: nibyo };
+        shira muri t (id, umutwe) agaciro (-2.5, 'N\\'inzira')
+        shira muri t { "id": 3, byasomwe: sibyo, }
     """)
-    return database.query("hitamo id, izina, yize muri t")
+    return database.query("hitamo id, umutwe, byasomwe muri t")
 
 
 def transactions(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,20 +90,91 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
 
 def crud(spark: SparkSession, folder: str) -> DataFrame:
     database = opened(spark, folder, "supplier")
-    rows = database.get("supplier", {"s_acctbal": {"gte": 1000, "lt": 5000}, "s_nationkey": {"munsi_cyangwa": 12}})
-    return rows_frame(spark, rows, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
+    return database.get_frame("supplier", {"s_acctbal": {"gte": 1000, "lt": 5000}, "s_nationkey": {"munsi_cyangwa": 12}})
+
+
+def crud_limit(spark: SparkSession, folder: str) -> DataFrame:
+    return opened(spark, folder, "nation").get_frame("nation", {"n_regionkey": {"gte": 1}}, 5)
+
+
+def crud_unknown(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields that no row has match nothing, in an object filter and in its deletions."""
+    database = copied(spark, folder, "nation")
+    rows = [{"kind": "known", "n": len(database.get("copy", {"n_regionkey": 2}))}, {"kind": "unknown", "n": len(database.get("copy", {"nta": 2}))}]
+    try:
+        database.delete("copy", {"nta": 2})
+    except EngineError as error:
+        rows.append({"kind": error.code, "n": len(database.get("copy"))})
+    return rows_frame(spark, rows, "kind string, n long")
+
+
+#: A row without the field, one with null there, and others.
+PARTLY = """
+    kora itsinda t
+    shira muri t { id: 1 }  shira muri t { id: 2, x: ubusa }  shira muri t { id: 3, x: "c" }
+    shira muri t { id: 4, x: nibyo }  shira muri t { id: 5, x: sibyo, y: ubusa }  shira muri t { id: 6, x: 0, y: nibyo }
+"""
+
+
+def scripted(script: str, select: str, schema: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A script's rows, as the row API gives them."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        database = Database.memory(spark)
+        database.execute(script)
+        return rows_frame(spark, [{**row, "id": int(row["id"])} for row in database.query_rows(select)], schema)
+
+    return run
+
+
+def groups_of_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups, sums and bounds of a column whose values are of several kinds."""
+    database = Database.memory(spark)
+    database.execute("kora itsinda t")
+    for value in (1, "1", None, -0.0, 0, [1], [1], True):
+        database.add("t", {"v": value, "n": 2})
+    database.add("t", {"n": 0.5})
+    rows = [{"v": json.dumps(r["v"]), "n": r["bara"], "sum": float(r["teranya_n"])} for r in database.query_rows("hitamo v, bara(*), teranya(n) muri t koranya v")]
+    return rows_frame(spark, rows, "v string, n long, sum double")
+
+
+def dropped_all(spark: SparkSession, folder: str) -> DataFrame:
+    database = copied(spark, folder, "region")
+    database.execute('siba byose kora itsinda copy (a umubare) shira muri copy { a: 7, b: "after" }')
+    return rows_frame(spark, [{**row, "a": float(row["a"])} for row in database.query_rows("hitamo a, b muri copy")], "a double, b string")
+
+
+def left_index(spark: SparkSession, folder: str) -> DataFrame:
+    """A limited join whose left table alone has an index takes its rows in the right table's order."""
+    database = Database.memory(spark)
+    for name in ("nation", "region"):
+        database.load(name, spark.read.parquet(f"{folder}/{name}.parquet"))
+    database.execute("kora urutonde n_key muri nation (n_regionkey)")
+    return database.query("hitamo n_name, r_name muri nation huza region aho n_regionkey = r_regionkey imipaka 7")
+
+
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """A table that was saved, changed row by row, saved again and opened."""
+    place = store.shared_folder(spark)
+    path = f"{place.removeprefix('file:')}/store-{uuid.uuid4().hex}"
+    database = copied(spark, folder, "nation")
+    database.save(path)
+    database.set("copy", {"n_nationkey": 3}, {"n_name": "CHANGED", "note": "added"})
+    database.delete("copy", {"n_regionkey": 0})
+    database.add("copy", {"n_nationkey": 50, "n_name": "NEW"})
+    return Database.open(spark, path).query("hitamo n_nationkey, n_name, n_regionkey muri copy")
 
 
 def modelled(spark: SparkSession, folder: str) -> DataFrame:
     database = Database.memory(spark)
-    people = model("abanyeshuri", {"id": "number", "izina": "string", "amanota": "number", "yize": "boolean"}).on(database)
-    people.kora()
-    for i, (name, mark, passed) in enumerate((("Aline", 88, True), ("Keza", 41, False), ("Kaliza", 70, None)), 1):
-        people.shira({"id": i, "izina": name, "amanota": mark, "yize": passed})
-    people.hindura({"id": 2}, {"amanota": 70.5})
-    people.siba({"id": 1})
-    rows = [{**row, "amanota": float(row["amanota"])} for row in people.hitamo({"amanota": {"gte": 50}})]
-    return rows_frame(spark, rows, "id long, izina string, amanota double, yize boolean")
+    books = model("ibitabo", {"id": "number", "umutwe": "string", "impapuro": "number", "byasomwe": "boolean"}).on(database)
+    books.kora()
+    for i, (title, pages, read) in enumerate((("Umuganda", 312, True), ("Inzira", 95, False), ("Urugendo", 140, None)), 1):
+        books.shira({"id": i, "umutwe": title, "impapuro": pages, "byasomwe": read})
+    books.hindura({"id": 2}, {"impapuro": 120.5})
+    books.siba({"id": 1})
+    rows = [{**row, "impapuro": float(row["impapuro"])} for row in books.hitamo({"impapuro": {"gte": 100}})]
+    return rows_frame(spark, rows, "id long, umutwe string, impapuro double, byasomwe boolean")
 
 
 def mixed_values(spark: SparkSession, folder: str) -> DataFrame:
@@ -270,7 +345,7 @@ _NATION = "SELECT CAST(n_nationkey AS DOUBLE) AS n_nationkey, n_name, CAST(n_reg
 
 #: name: (query, SQL)
 PROGRAMS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
-    "ddl_create": (created, "SELECT * FROM (VALUES (1.0::DOUBLE, 'Aline', true), (-2.5, 'Ke''za', NULL), (3.0, NULL, false)) t(id, izina, yize)"),
+    "ddl_create": (created, "SELECT * FROM (VALUES (1.0::DOUBLE, 'Umuganda', true), (-2.5, 'N''inzira', NULL), (3.0, NULL, false)) t(id, umutwe, byasomwe)"),
     "dml_insert": (
         changed("nation", 'shira muri copy { n_nationkey: 99, n_name: "NEW" } shira muri copy (n_nationkey, n_regionkey) agaciro (100, -1)', "hitamo n_nationkey, n_name, n_regionkey muri copy"),
         f"{_NATION} UNION ALL VALUES (99, 'NEW', NULL), (100, NULL, -1)",
@@ -292,8 +367,34 @@ PROGRAMS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         "SELECT 5.0::DOUBLE AS a",
     ),
     "transactions": (transactions, f"SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'CHANGED' ELSE n_name END AS n_name, n_regionkey FROM ({_NATION}) WHERE n_regionkey <> 0"),
+    "null_set": (
+        changed("nation", "hindura copy shyira n_regionkey = ubusa aho n_nationkey = 7", "hitamo n_name, n_regionkey muri copy aho n_regionkey = ubusa"),
+        "SELECT n_name, CAST(NULL AS DOUBLE) AS n_regionkey FROM nation WHERE n_nationkey = 7",
+    ),
+    "null_not_missing": (scripted(PARTLY, "hitamo id muri t aho x = ubusa", "id long"), "SELECT * FROM (VALUES (2::BIGINT)) t(id)"),
+    "boolean_true": (scripted(PARTLY, "hitamo id muri t aho x = nibyo", "id long"), "SELECT * FROM (VALUES (4::BIGINT)) t(id)"),
+    "boolean_false": (scripted(PARTLY, "hitamo id, y muri t aho x = sibyo", "id long, y boolean"), "SELECT * FROM (VALUES (5::BIGINT, NULL::BOOLEAN)) t(id, y)"),
+    "join_null_keys": (
+        changed(
+            "nation", "hindura copy shyira n_regionkey = ubusa aho n_nationkey = 7 hindura copy shyira n_regionkey = ubusa aho n_nationkey = 3",
+            "hitamo a.n_name, b.n_nationkey muri copy a huza copy b aho a.n_regionkey = b.n_regionkey",
+        ),
+        "SELECT a.n_name, CAST(b.n_nationkey AS DOUBLE) AS n_nationkey FROM nation a JOIN nation b USING (n_regionkey) WHERE a.n_nationkey NOT IN (3, 7) AND b.n_nationkey NOT IN (3, 7)",
+    ),
+    "join_left_index": (left_index, "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey ORDER BY r_regionkey, n_nationkey LIMIT 7"),
+    "group_kinds": (
+        groups_of_kinds,
+        "SELECT * FROM (VALUES ('1', 1::BIGINT, 2.0::DOUBLE), ('\"1\"', 1, 2.0), ('null', 2, 2.5), ('0', 2, 4.0), ('[1]', 2, 4.0), ('true', 1, 2.0)) t(v, n, sum)",
+    ),
+    "ddl_drop_all": (dropped_all, "SELECT 7.0::DOUBLE AS a, 'after' AS b"),
+    "crud_limit": (crud_limit, "SELECT * FROM nation WHERE n_regionkey >= 1 ORDER BY n_nationkey LIMIT 5"),
+    "crud_unknown": (crud_unknown, "SELECT 'known' AS kind, count(*) FILTER (n_regionkey = 2) AS n FROM nation UNION ALL SELECT 'unknown', 0 UNION ALL SELECT 'E_NOT_FOUND', count(*) FROM nation"),
+    "store_reopened": (
+        stored,
+        f"SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'CHANGED' ELSE n_name END AS n_name, n_regionkey FROM ({_NATION}) WHERE n_regionkey <> 0 UNION ALL VALUES (50, 'NEW', NULL)",
+    ),
     "crud_get": (crud, "SELECT * FROM supplier WHERE s_acctbal >= 1000 AND s_acctbal < 5000 AND s_nationkey <= 12"),
-    "model_hitamo": (modelled, "SELECT * FROM (VALUES (2::BIGINT, 'Keza', 70.5::DOUBLE, false), (3, 'Kaliza', 70.0, NULL)) t(id, izina, amanota, yize)"),
+    "model_hitamo": (modelled, "SELECT * FROM (VALUES (2::BIGINT, 'Inzira', 120.5::DOUBLE, false), (3, 'Urugendo', 140.0, NULL)) t(id, umutwe, impapuro, byasomwe)"),
     "mixed_values": (
         mixed_values,
         "SELECT * FROM (VALUES ('loose', 0::BIGINT, 0::BIGINT), ('loose', 0, 2), ('loose', 1, 1), ('loose', 1, 2), ('loose', 2, 0), ('loose', 2, 1), "

@@ -72,5 +72,7 @@ def test_plans_push_down_and_prune(spark):
     assert "Join" in join and "Cartesian" not in join and "NestedLoop" not in join and "Sort [" not in join.split("SortMergeJoin")[0]
     group = plan_of(db.query("hitamo l_returnflag, bara(*) muri lineitem koranya l_returnflag"))
     assert "partial_count" in group and "_metadata" not in group
+    top = plan_of(db.query("hitamo l_suppkey, bara(*) muri lineitem koranya l_suppkey tondeka bara(*) manuka, l_suppkey imipaka 5"))
+    assert "HashAggregate" in top and "SortAggregate" not in top and "_metadata" not in top and "TakeOrderedAndProject" in top
     empty = plan_of(db.query("hitamo l_orderkey muri lineitem aho l_quantity > 5 kandi l_quantity < 3"))
     assert "Scan parquet" not in empty

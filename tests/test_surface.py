@@ -15,12 +15,12 @@ def code(call, *args, **more):
 def test_table_text():
     assert table_text([]) == "(0 rows)\n"
     assert table_text([{}, {}]) == "(2 rows)\n"
-    rows = [{"id": 1, "izina": "Aline", "x": None}, {"id": 10.5, "izina": "a\tb\n", "yize": True}]
+    rows = [{"id": 1, "izina": "Inzia", "x": None}, {"id": 10.5, "izina": "a\tb\n", "sawa": True}]
     assert table_text(rows) == (
         "┌──────┬────────┬──────┬──────┐\n"
-        "│   id │ izina  │ x    │ yize │\n"
+        "│   id │ izina  │ x    │ sawa │\n"
         "├──────┼────────┼──────┼──────┤\n"
-        "│    1 │ Aline  │ null │ null │\n"
+        "│    1 │ Inzia  │ null │ null │\n"
         "│ 10.5 │ a\\tb\\n │ null │ true │\n"
         "└──────┴────────┴──────┴──────┘\n"
         "(2 rows)\n"
