@@ -90,6 +90,30 @@ def test_mixture_gives_the_taken_words(spark):
     assert got == taken
 
 
+def test_clashing_names_pass_through(spark):
+    names = ["_mix_base", "_mix_size", "_mix_copy", "_mix_take", "_mix_key", "_mix_inner", "_mix_row", "_mix_time", "_mix_order", "_mix_text", "words", "digest", "position", "Key"]
+    rows = [(i, f"some words of {i}", "en", f"s{i % 3}", 5, *range(7, 7 + len(names))) for i in range(30)]
+    docs = spark.createDataFrame(rows, DOC_SCHEMA + "".join(f", `{name}` int" for name in names))
+    out = mixing.mixture(docs)
+    assert out.columns == docs.columns
+    assert {tuple(r[5:]) for r in out.collect()} == {tuple(range(7, 7 + len(names)))}
+    assert mixing.report(docs).count() == 30
+
+
+def test_many_rows_of_one_id(spark):
+    rows = [(None if i % 2 else 5, f"text {i} " * (i % 4), "en", "hot" if i % 3 else None, 1) for i in range(2000)]
+    docs = spark.createDataFrame(rows, DOC_SCHEMA)
+    narrow = docs.select("doc_id", "source", mixing.word_count(docs.text).alias("words"), mixing.digest_of(docs.text).alias("digest"))
+    busy, idle = mixing.planned(narrow, F.col("words"), F.col("digest"))
+    assert busy.count() == 1500 and idle.count() == 500
+    most = busy.groupBy(F.substring("_mix_order", 1, mixing.BUCKET_DIGITS)).count().agg(F.max("count")).first()[0]
+    assert most < 20
+    first, again = (sorted(map(str, mixing.report(d).collect())) for d in (docs, docs.repartition(5)))
+    assert first == again
+    sums = mixing.report(docs).groupBy("target").agg(F.sum("taken").alias("taken")).collect()
+    assert all(abs(r.taken - r.target) <= 1 for r in sums)
+
+
 def test_sql_gives_the_same_rows(spark):
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
