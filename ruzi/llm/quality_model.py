@@ -1,7 +1,7 @@
 """A quality classifier: histogram gradient-boosted trees over document statistics.
 
 Statistics come from the whole text alone.  Labels are learnt from a bounded
-sample of labelled rows (``max_rows``, those with the least hash), on the driver:
+sample of labelled rows (``max_rows``, those with the least hash, drawn below a threshold of it), on the driver:
 features are binned at quantiles, each tree grows level by level from histograms
 of gradients, and the fitted trees are flattened into three arrays.  Scoring
 walks all trees of a batch of documents at once by array indexing.
@@ -11,7 +11,7 @@ documents; scoring is one pass without a shuffle and holds one Arrow batch.
 
 Defined results: a null or empty text gets the score of all-zero statistics;
 labels that are null or name no document are ignored, of several for one document
-the greatest counts; with no labels, or one class only, every score is that
+the greatest counts, and of several documents of one id the least statistics; with no labels, or one class only, every score is that
 class's rate (0.5 with none); repeated rows score equally; an empty table gives
 an empty result; extra columns don't matter.
 """
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruzi.llm.common import map_batches
+from ruzi.llm.common import bounded_sample, even, map_batches, written
 
 #: Labelled rows that fitting takes at most.
 MAX_ROWS = 20_000
@@ -168,8 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Fores
     """Fit on at most ``max_rows`` labelled documents that aren't held out."""
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("label"))
     known = known.where(F.col("label").isNotNull() & F.col("label_id").isNotNull() & ~held_out(F.col("label_id")))
-    known = known.groupBy("label_id").agg(F.max("label").alias("label"))
-    sample = known.orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows)
+    known = written(known.groupBy("label_id").agg(F.max("label").alias("label")))
+    sample = bounded_sample(known, even("label_id"), max_rows, max_rows / max(1, known.count()))
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -180,9 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Fores
 
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("label_id", "label", "text")
     measured = map_batches(rows, make, "id long, label int, " + ", ".join(f"{name} double" for name in FEATURES))
-    # Documents may repeat, so the bound is put on the rows once more.
-    order = [F.xxhash64("id"), *("id", "label", *FEATURES)]
-    found = measured.orderBy(*order).limit(max_rows).toPandas()
+    # Documents may repeat an id: it counts once, by its least statistics, and the bound on ids is one on rows.
+    once = measured.groupBy("id").agg(F.min(F.struct("label", *FEATURES)).alias("row")).select("id", "row.*")
+    found = once.toPandas().sort_values("id", ignore_index=True)
     return fit(found[list(FEATURES)].to_numpy(float), (found["label"] > 0).to_numpy(float))
 
 
