@@ -3,17 +3,19 @@
 Keys are drawn with a chance proportional to their record's size, quantiles of
 the draw become boundaries, and records are range-partitioned by them.  Ranges
 that turn out overfull are subdivided at quantiles of a new draw from inside
-them.  Exact sums over the ranges then place every record: a shard is a run of
-consecutive keys and takes its share of all bytes to within one record.
+them.  A shard is a run of whole ranges but for the one that holds its end: there the cut
+is made at the record nearest an equal share of all bytes, or at the end of a group of
+equal texts if one is no further from it than the largest record is long.
 
 The key begins with a digest of the text, so equal texts are neighbours and stay
-in one shard unless a boundary falls among them; then comes a digest of the id,
+in one shard unless a cut falls among so many that their end is too far; then comes a digest of the id,
 by which a group of copies can be divided, then the id and the row's number.
 
-Scale: texts are read once, to digest them; what is shuffled is 50 bytes a
+Scale: texts are read once, to digest them; what is shuffled are 50 bytes a
 record.  The draw is at most ``PER_RANGE`` keys for each of at most ``MAX_RANGES``
-ranges, and the driver holds one row per range.  A range with a third of all
-records is subdivided until it has a range's share.
+ranges, taken below a threshold of its clocks, and the driver holds one row per range.  A range with
+a third of all records is subdivided until it has a range's share.  Only the ranges around
+cuts are looked into to place them.
 
 Defined results: a null text has size 1 and the checksum of no bytes; a null id
 digests as empty; repeated rows get a slot each; the empty table has no rows; with
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruzi.llm.common import map_batches, written
+from ruzi.llm.common import bounded_sample, discard, map_batches, written
 
 SHARDS = 16
 #: Bytes that a range is meant to hold, and how many ranges there are at least and at most.
@@ -53,10 +55,13 @@ def records(docs: DataFrame) -> DataFrame:
     )
 
 
-def draw(rows: DataFrame, count: int) -> np.ndarray:
-    """At most ``count`` keys without replacement, likelier by size: the first in a race of exponential clocks."""
+def draw(rows: DataFrame, count: int, total: int) -> np.ndarray:
+    """At most ``count`` keys without replacement, likelier by size: the first in a race of exponential clocks.
+
+    ``total`` is the rows' bytes: by the time ``count / total`` at most ``count`` clocks have run out, give or take.
+    """
     chance = (F.pmod(F.xxhash64(*KEY), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    found = rows.select(*KEY, (-F.log(chance) / F.col("size")).alias("clock")).orderBy("clock", *KEY).limit(count)
+    found = bounded_sample(rows.select(*KEY, "size"), -F.log(chance) / F.col("size"), count, count / max(1, total))
     return found.select(*KEY).toPandas().to_numpy(np.int64).reshape(-1, 3)
 
 
@@ -99,11 +104,11 @@ def range_sums(rows: DataFrame) -> dict[int, tuple[int, int]]:
     return {r[0]: (r[1], r[2]) for r in found}
 
 
-def split_ranges(rows: DataFrame) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
-    """The records by range, none of them overfull if keys can divide it, and the ranges' sums."""
+def split_ranges(rows: DataFrame) -> tuple[DataFrame, dict[int, tuple[int, int]], np.ndarray]:
+    """The records by range, none of them overfull if keys can divide it, the ranges' sums and their boundaries."""
     total = rows.agg(F.sum("size")).first()[0] or 0
     ranges = int(min(MAX_RANGES, max(MIN_RANGES, -(-total // RANGE_BYTES))))
-    boundaries = quantiles(draw(rows, ranges * PER_RANGE), ranges - 1)
+    boundaries = quantiles(draw(rows, ranges * PER_RANGE, total), ranges - 1)
     for _ in range(ROUNDS):
         by_range = ranged(rows, boundaries)
         sums = range_sums(by_range)
@@ -112,7 +117,8 @@ def split_ranges(rows: DataFrame) -> tuple[DataFrame, dict[int, tuple[int, int]]
             break
         parts = sum(-(-sums[n][0] * ranges // total) for n in full)
         # Few and large: a list of the overfull is short, as their sizes add up to the total at most.
-        more = quantiles(draw(by_range.where(F.col("range_no").isin(full)), 4 * PER_RANGE * parts), 4 * parts)
+        inside = by_range.where(F.col("range_no").isin(full))
+        more = quantiles(draw(inside, 4 * PER_RANGE * parts, sum(sums[n][0] for n in full)), 4 * parts)
         added = np.unique(np.concatenate([boundaries, more]), axis=0)
         if len(added) == len(boundaries):
             break
@@ -120,40 +126,65 @@ def split_ranges(rows: DataFrame) -> tuple[DataFrame, dict[int, tuple[int, int]]
     else:
         by_range = ranged(rows, boundaries)
         sums = range_sums(by_range)
-    return by_range, sums
+    return by_range, sums, boundaries
+
+
+def cuts_of(placed: DataFrame, spans: list[tuple[int, int, int]], total: int, largest: int, shards: int) -> list[int]:
+    """Where shards end, in bytes before them: near equal shares, at a record's end or, if one is near enough, a group's.
+
+    ``spans`` are number, first byte and end of the ranges; those that can hold an end within ``largest`` of a share are looked into.
+    """
+    wanted = [k * total // shards for k in range(1, shards)]
+    near = [number for number, low, high in spans if any(low - largest <= at <= high + largest for at in wanted)]
+    ends = placed.where(F.col("range_no").isin(near)).select("upto", "group_end")
+    close = F.filter(F.array(*[F.lit(at).cast("long") for at in wanted]), lambda at: F.abs(F.col("upto") - at) <= largest)
+    each = ends.select("upto", "group_end", F.explode(close).alias("wanted"))
+    # One row per cut and kind of end.
+    best = each.groupBy("wanted", "group_end").agg(F.min(F.struct(F.abs(F.col("upto") - F.col("wanted")).alias("off"), "upto")).alias("best"))
+    found: dict[int, dict[bool, int]] = {}
+    for at, is_group, (_, upto) in best.collect():
+        found.setdefault(at, {})[is_group] = upto
+    return [kinds.get(True, kinds.get(False)) if (kinds := found.get(at)) else at for at in wanted]
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of each document."""
-    by_range, sums = split_ranges(written(records(docs)))
+    rows = written(records(docs))
+    by_range, sums, boundaries = split_ranges(rows)
     total = sum(size for size, _ in sums.values())
     at = rows_before = 0
-    bases = []
+    bases, spans = [], []
     for number in sorted(sums):
-        bases.append((number, at, rows_before))
+        # A range begins with the key that is its boundary.
+        bases.append((number, at, rows_before, int(boundaries[number, 0]) if number < len(boundaries) else None))
+        spans.append((number, at, at + sums[number][0]))
         at, rows_before = at + sums[number][0], rows_before + sums[number][1]
     spark = docs.sparkSession
-    base = spark.createDataFrame(bases or [(0, 0, 0)], "base_no long, bytes_before long, rows_before long")
-    # At most 3 * MAX_RANGES rows of three numbers.
+    base = spark.createDataFrame(bases or [(0, 0, 0, None)], "base_no long, bytes_before long, rows_before long, next_text long")
+    # At most 3 * MAX_RANGES rows of four numbers.
     placed = by_range.join(F.broadcast(base), F.col("range_no") == F.col("base_no"))
     order = "PARTITION BY range_no ORDER BY text_key, id_key, doc_id, row_key"
-    middle = f"2 * (bytes_before + sum(size) OVER ({order})) - size"
-    placed = placed.select(
-        "doc_id", "size", "text_crc32",
-        F.expr(f"cast(least({shards - 1}, (({middle}) * {shards}) div {max(1, 2 * total)}) as int)").alias("shard"),
+    placed = written(placed.select(
+        "doc_id", "size", "text_crc32", "range_no",
+        F.expr(f"bytes_before + sum(size) OVER ({order})").alias("upto"),
         F.expr(f"rows_before + row_number() OVER ({order}) - 1").alias("place"),
-    )
-    placed = written(placed)
+        F.expr(f"coalesce(text_key != coalesce(lead(text_key) OVER ({order}), next_text), true)").alias("group_end"),
+    ))
+    largest = placed.agg(F.max("size")).first()[0] or 0
+    cuts = cuts_of(placed, spans, total, largest, shards) if total else []
+    number = sum(((F.col("upto") > cut).cast("int") for cut in cuts), F.lit(0))
+    placed = placed.withColumn("shard", number)
     first = placed.groupBy("shard").agg(F.min("place").alias("first_place")).withColumnRenamed("shard", "first_shard")
     # One row per shard.
     joined = placed.join(F.broadcast(first), F.col("shard") == F.col("first_shard"))
+    discard(rows)
     return joined.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("place") - F.col("first_place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
-#: DuckDB SQL for the rows of ``shard``: one sort by the key and one running sum.
+#: DuckDB SQL for the rows of ``shard``: one sort by the key, one running sum, and cuts at the ends near equal shares.
 SQL = r"""
 WITH t AS (
   SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS steps
@@ -170,10 +201,18 @@ WITH t AS (
          xor(list_reduce(bytes, lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS text_crc32
   FROM b, t
 ), p AS (
-  SELECT *, row_number() OVER w - 1 AS place, sum(size) OVER w AS upto, sum(size) OVER () AS total
-  FROM c WINDOW w AS (ORDER BY text_key, id_key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  SELECT *, row_number() OVER w - 1 AS place, CAST(sum(size) OVER w AS BIGINT) AS upto, lead(text_key) OVER v IS DISTINCT FROM text_key AS group_end
+  FROM c WINDOW w AS (ORDER BY text_key, id_key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), v AS (ORDER BY text_key, id_key, doc_id)
+), n AS (
+  SELECT CAST(sum(size) AS BIGINT) AS total, max(size) AS largest FROM c
+), e AS (
+  SELECT k, k * total // 16 AS wanted, largest, min({'off': abs(upto - k * total // 16), 'upto': upto}) FILTER (group_end AND abs(upto - k * total // 16) <= largest) AS groups,
+         min({'off': abs(upto - k * total // 16), 'upto': upto}) FILTER (NOT group_end AND abs(upto - k * total // 16) <= largest) AS inside
+  FROM p, n, range(1, 16) AS r(k) GROUP BY ALL
+), t2 AS (
+  SELECT list(coalesce(groups.upto, inside.upto, wanted)) AS cuts FROM e
 ), s AS (
-  SELECT *, CAST(least(15, (2 * upto - size) * 16 // (2 * total)) AS INTEGER) AS shard FROM p
+  SELECT p.*, CAST(len(list_filter(cuts, lambda x: x < upto)) AS INTEGER) AS shard FROM p, t2
 )
 SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
        CAST(place - min(place) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
