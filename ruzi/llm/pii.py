@@ -12,8 +12,8 @@ gives, with failing matches dropped and not retried:
 * phone ``\\+[0-9][\\x20().0-9-]+[0-9]``, 9 to 15 digits
 
 The method adds two kinds: ``login`` (user information in an address after a
-scheme) and ``account`` (an IBAN with right check digits, or 8 to 17 digits, after
-a cue such as ``IBAN`` or ``account number``).
+scheme) and ``account`` (an IBAN of its country's length with right check digits, or 8 to 17 digits, after
+a cue such as ``IBAN`` or ``account number``).  Schemes and cues count in any case.
 
 Scale: one pass, no shuffle, whole texts, memory of one Arrow batch.
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 
 import ahocorasick
@@ -42,15 +43,26 @@ ORDER = {kind: i for i, kind in enumerate(KINDS)}
 
 DIGITS = frozenset("0123456789")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://")
-CUES = ("iban", "Iban", "IBAN", "account", "Account", "ACCOUNT", "acct", "Acct", "ACCT")
+#: Matched in any case.
+SCHEMES, CUES = ("http://", "https://", "ftp://", "sftp://", "ssh://"), ("iban", "account", "acct")
+#: How long the account numbers of a country are (ISO 13616).
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21,
+    "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27,
+    "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23,
+    "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 ADDRESS = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 DIGIT_CHAIN = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 USER = re.compile(r"[A-Za-z0-9._%+~-]+:[^\x20\x09-\x0D@/?#]+@[A-Za-z0-9.-]+")
-IBAN = re.compile(r"[\x20:#=]{0,4}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+#: A country, and after it characters with at most one space before each; how many there are, its length says.
+IBAN = re.compile(r"(?:\x20(?:number|no\.?|nr\.?))?[\x20:#=]{0,4}([A-Z]{2})(?=[0-9]{2})", re.ASCII)
 ACCOUNT = re.compile(r"(?:\x20(?:number|no\.?|nr\.?|id))?[\x20:#=]{1,4}([0-9]{8,17})(?![0-9A-Za-z])", re.ASCII | re.IGNORECASE)
 
 Span = tuple[str, int, int]
@@ -68,10 +80,10 @@ def automaton() -> ahocorasick.Automaton:
             for between in ("", " ", "-"):
                 found.add_word(f"{a}{between}{b}", ("card", 2 + len(between)))
     found.add_word("@", ("email", 1))
-    for scheme in SCHEMES:
-        found.add_word(scheme, ("login", len(scheme)))
-    for cue in CUES:
-        found.add_word(cue, ("account", len(cue)))
+    for family, words in (("login", SCHEMES), ("account", CUES)):
+        for word in words:
+            for either in itertools.product(*[sorted({c.lower(), c.upper()}) for c in word]):
+                found.add_word("".join(either), (family, len(word)))
     found.make_automaton()
     return found
 
@@ -86,7 +98,22 @@ def luhn(digits: str) -> bool:
 
 def iban(value: str) -> bool:
     turned = value[4:] + value[:4]
-    return 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+    return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+
+
+@functools.cache
+def rest_of_iban(country: str) -> re.Pattern:
+    """The check digits and as many more characters as the country's numbers have, not followed by another."""
+    return re.compile(rf"[0-9]{{2}}(?:\x20?[A-Z0-9]){{{IBAN_LENGTHS[country] - 4}}}(?![A-Za-z0-9])")
+
+
+def account_at(text: str, at: int) -> tuple[int, int] | None:
+    """Start and end of the account number that a cue ending at ``at`` announces."""
+    if (match := IBAN.match(text, at)) and match[1] in IBAN_LENGTHS:
+        if (rest := rest_of_iban(match[1]).match(text, match.end())) and iban(match[1] + rest[0].replace(" ", "")):
+            return match.start(1), rest.end()
+    match = ACCOUNT.match(text, at)
+    return match.span(1) if match else None
 
 
 def chain_start(text: str, at: int, low: int, between: str) -> int:
@@ -140,9 +167,9 @@ def spans(text: str) -> list[Span]:
                 login_end = match.end()
                 found.append(("login", last + 1, login_end))
         elif at >= account_end:
-            if (match := IBAN.match(text, last + 1)) and iban(match[1].replace(" ", "")) or (match := ACCOUNT.match(text, last + 1)):
-                account_end = match.end(1)
-                found.append(("account", match.start(1), account_end))
+            if span := account_at(text, last + 1):
+                account_end = span[1]
+                found.append(("account", *span))
     return sorted(found, key=lambda span: (span[1], ORDER[span[0]]))
 
 

@@ -56,6 +56,31 @@ def test_added_kinds():
     assert pii.spans("on account of 12 people in 2024") == []
 
 
+IBANS = ["GB82WEST12345698765432", "DE89370400440532013000", "FR1420041010050500013M02606", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"]
+
+
+def test_account_numbers_end_where_their_country_says():
+    spaced = lambda n: " ".join(n[i : i + 4] for i in range(0, len(n), 4))
+    for number in IBANS:
+        for written in (number, spaced(number)):
+            for cue in ("IBAN", "iban:", "iBaN ", "Account no. "):
+                for after in ("", " OK", " AND MORE", ".", "\nNEXT LINE 12", " 99"):
+                    text = f"pay to {cue} {written}{after}"
+                    assert [text[a:b] for k, a, b in pii.spans(text) if k == "account"] == [written], text
+        broken = number[:-1] + ("1" if number[-1] != "1" else "2")
+        assert not [s for s in pii.spans(f"IBAN {broken} x") if s[0] == "account"]
+        assert not [s for s in pii.spans(f"IBAN {number}A") if s[0] == "account"]
+        assert not [s for s in pii.spans(f"number {number}") if s[0] == "account"]
+    assert not [s for s in pii.spans("IBAN ZZ82WEST12345698765432") if s[0] == "account"]
+
+
+def test_schemes_in_any_case():
+    for scheme in ("HTTP", "Https", "ftp", "sSh", "SFTP"):
+        text = f"see {scheme}://a:b@c.d/x"
+        assert [text[a:b] for k, a, b in pii.spans(text) if k == "login"] == ["a:b@c.d"]
+    assert not [s for s in pii.spans("http://a@c.d http://c.d:80/x@y") if s[0] == "login"]
+
+
 def test_redaction_leaves_no_span():
     text = EDGE_TEXTS[-1]
     clean = pii.redact_text(text)
