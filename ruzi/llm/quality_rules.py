@@ -3,8 +3,9 @@
 Each document is measured once.  The failures of each rule are summed by host,
 the hosts' rates are shrunk towards the corpus with a beta prior whose moments
 come from the hosts themselves, and the verdict on a host goes back to its
-documents.  A host of few documents therefore needs the company of a high
-corpus-wide rate before it is refused; a large one is judged by its own record.
+documents.  A host is refused for a rule that its documents pass at most half as often
+as all documents do, going by its shrunk rate; a rule that no document passes refuses no host.
+A host of few documents is judged by the corpus more than by them; a large one by its own record.
 
 Scale: the text is read once and only counts leave the Python workers.  The
 sums by host are combined before the shuffle, so a host with a third of all
@@ -30,10 +31,10 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: A host is refused for a rule from this shrunk failure rate on.
-REFUSE_FROM = 0.8
+#: A host is refused for a rule that its documents pass at most so much as often as all documents.
+PASSING = 0.5
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -59,14 +60,14 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return covered
 
 
-def measure(text: str) -> tuple[int, int, int, int, int]:
-    """The five counts of one text, in the order of COUNTS."""
+def measure(text: str) -> tuple[int, ...]:
+    """The counts of one text, in the order of COUNTS; lines without a word don't count."""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     chars = len(b"".join(words).decode("utf-8", "surrogatepass"))
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
     lines = [line for line in raw.split(b"\n") if line and not line.isspace()]
-    return len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(words)
+    return len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(words), len(lines)
 
 
 def document_counts(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -91,12 +92,12 @@ def rules() -> dict[str, Column]:
         "short": n < MIN_WORDS,
         "repeats": 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n,
         "symbols": 10 * F.col("n_symbols") > 3 * F.col("word_chars"),
-        "lines": 2 * F.col("n_dup_lines") > n,
+        "lines": 2 * F.col("n_dup_lines") > F.col("n_lines"),
     }
 
 
-def refused_hosts(counts: DataFrame, refuse_from: float = REFUSE_FROM) -> DataFrame:
-    """host and worst_rate of the hosts whose shrunk rate of some rule is too high."""
+def refused_hosts(counts: DataFrame, passing: float = PASSING) -> DataFrame:
+    """host and refused_for, the rules whose shrunk rate is too high, of hosts that have such."""
     names = list(rules())
     failed = [F.sum(test.cast("long")).alias(name) for name, test in rules().items()]
     hosts = counts.groupBy("host").agg(F.count("*").alias("n"), *failed)
@@ -107,12 +108,14 @@ def refused_hosts(counts: DataFrame, refuse_from: float = REFUSE_FROM) -> DataFr
         *[F.sum(name).alias(name) for name in names],
         *[F.sum(F.col(name) * F.col(name) / F.col("n")).alias(f"{name}_sq") for name in names],
     ).first()
-    shrunk = []
+    bad = []
     for name in names:
-        alpha, beta = beta_prior(moments["hosts"], moments["n"] or 0, moments[name] or 0, moments[f"{name}_sq"] or 0.0)
-        shrunk.append((F.col(name) + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta)))
-    worst = F.greatest(*shrunk)
-    return hosts.select("host", worst.alias("worst_rate")).where(F.col("worst_rate") >= refuse_from)
+        documents, failed = moments["n"] or 0, moments[name] or 0
+        alpha, beta = beta_prior(moments["hosts"], documents, failed, moments[f"{name}_sq"] or 0.0)
+        shrunk = (F.col(name) + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))
+        if failed < documents:
+            bad.append(F.when(shrunk >= F.lit(1 - passing * (1 - failed / documents)), F.lit(name)))
+    return hosts.select("host", F.array_compact(F.array(*(bad or [F.lit(None).cast("string")]))).alias("refused_for")).where(F.size("refused_for") > 0)
 
 
 def beta_prior(hosts: int, n: int, failed: int, squares: float) -> tuple[float, float]:
@@ -131,10 +134,10 @@ def beta_prior(hosts: int, n: int, failed: int, squares: float) -> tuple[float,
     return mean * strength, (1 - mean) * strength
 
 
-def judge(docs: DataFrame, host: str = "source", refuse_from: float = REFUSE_FROM) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", passing: float = PASSING) -> DataFrame:
     """doc_id, host, COUNTS, base_failed and kept for each document."""
     counts = written(document_counts(docs, host))
-    refused = refused_hosts(counts, refuse_from).select(F.col("host").alias("refused_host"), F.lit(True).alias("refused"))
+    refused = refused_hosts(counts, passing).select(F.col("host").alias("refused_host"), F.lit(True).alias("refused"))
     base = rules()["short"] | rules()["repeats"]
     joined = counts.join(refused, F.col("host").eqNullSafe(F.col("refused_host")), "left")
     return joined.select(
@@ -154,7 +157,7 @@ WITH d AS (
   SELECT k, doc_id, source, CAST(len(words) AS BIGINT) AS n_words,
          CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(len(lines) AS BIGINT) AS n_lines
   FROM w
 ), u AS (
   SELECT k, unnest(words) AS word, unnest(range(len(words))) AS i FROM w
@@ -170,7 +173,7 @@ WITH d AS (
   SELECT c.*, coalesce(n.n_repeat_words, 0) AS n_repeat_words FROM c LEFT JOIN n USING (k)
 ), f AS (
   SELECT *, n_words < 10 AS short, 100 * n_repeat_words > 20 * n_words AS repeats,
-         10 * n_symbols > 3 * word_chars AS symbols, 2 * n_dup_lines > n_words AS lines
+         10 * n_symbols > 3 * word_chars AS symbols, 2 * n_dup_lines > n_lines AS lines
   FROM m
 ), h AS (
   SELECT source, count(*) AS n, unnest(['short', 'repeats', 'symbols', 'lines']) AS rule,
@@ -185,9 +188,9 @@ WITH d AS (
   SELECT rule, mean, CASE WHEN noise = 0 THEN 1.0 WHEN between_hosts > 0
            THEN least(greatest(noise / between_hosts - 1, 1.0), 1e6) ELSE 1e6 END AS strength FROM s
 ), refused AS (
-  SELECT DISTINCT source FROM h JOIN b USING (rule) WHERE (bad + mean * strength) / (n + strength) >= 0.8
+  SELECT DISTINCT source FROM h JOIN b USING (rule) WHERE (bad + mean * strength) / (n + strength) >= 1 - 0.5 * (1 - mean) AND mean < 1
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, short OR repeats AS base_failed,
        NOT (short OR repeats) AND NOT EXISTS (SELECT 1 FROM refused WHERE refused.source IS NOT DISTINCT FROM f.source) AS kept
 FROM f
 """

@@ -13,12 +13,12 @@ def plain(text):
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
     seen = Counter(windows)
     covered = {i + k for i, w in enumerate(windows) if seen[w] > 1 for k in range(5)}
-    earlier, dup = set(), 0
+    earlier, dup, lines = set(), 0, 0
     for line in text.split("\n"):
         if re.search(r"[^\x20\x09-\x0D]", line):
-            dup += line in earlier
+            dup, lines = dup + (line in earlier), lines + 1
             earlier.add(line)
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered), lines
 
 
 def test_counts_equal_a_plain_count():
@@ -38,6 +38,21 @@ def test_documents_get_base_and_host_verdicts(spark):
     assert got[201].base_failed and got[202].kept
 
 
+def test_hosts_are_held_against_the_corpus(spark):
+    good, bad = "a clean text of eleven words that nobody would ever refuse", "\n".join(["one two", "three four"] * 4)
+    assert qr.measure(bad) == (16, 60, 0, 6, 16, 8) and qr.measure(good)[3] == 0
+
+    def refused(rates):
+        rows = [(1000 * h + i, bad if i < rate else good, "en", f"h{h}", None) for h, rate in enumerate(rates) for i in range(100)]
+        found = qr.refused_hosts(qr.document_counts(spark.createDataFrame(rows, DOC_SCHEMA))).collect()
+        return {r.host: sorted(r.refused_for) for r in found}
+
+    assert refused([0] * 7 + [70]) == {"h7": ["lines", "repeats"]}
+    assert refused([0] * 7 + [40]) == {}
+    for rate in (5, 60, 100):
+        assert refused([rate] * 8) == {}
+
+
 def test_prior_follows_the_hosts():
     a, b = qr.beta_prior(2, 100, 50, 50.0)
     assert abs(a / (a + b) - 0.5) < 1e-9 and a + b < 2
