@@ -7,10 +7,11 @@ of partially filled windows grows least.  A level array holds those numbers, so
 a placement is a few vector operations over at most 2048 levels.  When a task's
 documents end, or when it holds ``max_open`` partially filled windows, the
 emptiest windows are dissolved into the gaps of the fullest, cutting as needed,
-so that at most one window of the lot stays partially filled.
+so that at most one window of the lot stays partially filled.  ``settled`` marks their windows: the rule
+needs many documents to close windows by itself, so their share falls as a task's documents grow.
 
 Scale: tokenizing, packing and checksums happen in one pass over the input's own
-partitions: no shuffle, no key, nothing to be skewed.  A task holds one batch,
+partitions: no shuffle, no key, nothing to be skewed.  A task holds one batch, the ids of one document,
 a bounded cache of words and at most ``max_open`` windows.  It costs less than
 one padded window per input partition.
 
@@ -40,10 +41,10 @@ LENGTH = 2048
 END = 1
 MAX_OPEN = 4096
 #: Words whose ids are kept; when there are so many, they are kept as the older ones and a new lot begins.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 WIDTH = 4  # bytes of an id
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, settled boolean"
 
 
 def vocabulary_path() -> str:
@@ -128,7 +129,7 @@ class Piece:
 
     __slots__ = ("doc", "ids", "start")
 
-    def __init__(self, doc: tuple, start: int, ids: bytes):
+    def __init__(self, doc: tuple, start: int, ids: bytes | memoryview):
         self.doc, self.start, self.ids = doc, start, ids
 
     def __len__(self) -> int:
@@ -138,14 +139,20 @@ class Piece:
         return Piece(self.doc, self.start, self.ids[: at * WIDTH]), Piece(self.doc, self.start + at, self.ids[at * WIDTH :])
 
 
+class Lot(list):
+    """The pieces of one window; ``settled`` if they met by cutting and not by the rule."""
+
+    settled = False
+
+
 class Packer:
     """Takes documents, hands out closed windows as lists of pieces."""
 
     def __init__(self, length: int = LENGTH, max_open: int = MAX_OPEN):
         self.length, self.max_open, self.n_open = length, max_open, 0
         self.levels = np.zeros(length + 1, np.int64)
-        self.windows: dict[int, list[list[Piece]]] = {}
-        self.closed: list[list[Piece]] = []
+        self.windows: dict[int, list[Lot]] = {}
+        self.closed: list[Lot] = []
 
     def level_for(self, size: int) -> int:
         """The fill level, 0 for a new window, by which the sum of squares grows least; the fullest of equals."""
@@ -159,13 +166,15 @@ class Packer:
         return top - int(np.argmin(cost[::-1]))
 
     def add(self, doc: tuple, ids: bytes) -> None:
-        piece = Piece(doc, 0, ids)
-        while len(piece) >= self.length:
-            whole, piece = piece.cut(self.length)
-            self.closed.append([whole])
-        if size := len(piece):
+        count = len(ids) // WIDTH
+        whole, view = count // self.length * self.length, memoryview(ids)
+        for at in range(0, whole, self.length):
+            self.closed.append(Lot([Piece(doc, at, view[at * WIDTH : (at + self.length) * WIDTH])]))
+        if size := count - whole:
+            # Bytes of its own, so that the rest of a long document doesn't hold all of it.
+            piece = Piece(doc, whole, ids[whole * WIDTH :])
             level = self.level_for(size)
-            window = self.windows[level].pop() if level else []
+            window = self.windows[level].pop() if level else Lot()
             window.append(piece)
             if level:
                 self.levels[level] -= 1
@@ -184,6 +193,8 @@ class Packer:
         lot = [[level, window] for level in sorted(self.windows) for window in self.windows[level]]
         self.windows, self.n_open = {}, 0
         self.levels[:] = 0
+        for _, window in lot:
+            window.settled = True
         low, high = 0, len(lot) - 1
         while low < high:
             gap = self.length - lot[high][0]
@@ -204,22 +215,24 @@ class Packer:
         if low == high:
             self.closed.append(lot[low][1])
 
-    def taken(self) -> list[list[Piece]]:
+    def taken(self) -> list[Lot]:
         out, self.closed = self.closed, []
         return out
 
 
-def rows_of(windows: list[list[Piece]], first: int) -> pa.RecordBatch:
+def rows_of(windows: list[Lot], first: int) -> pa.RecordBatch:
     """One row per piece; windows are numbered from ``first``."""
     rows = []
     for number, window in enumerate(windows, first):
         offset = 0
         for piece in window:
             doc_id, tokens = piece.doc
-            rows.append((doc_id, piece.start, len(piece), zlib.crc32(piece.ids), tokens, number, offset))
+            rows.append((doc_id, piece.start, len(piece), zlib.crc32(piece.ids), tokens, number, offset, window.settled))
             offset += len(piece)
     names = [field.split()[0] for field in SCHEMA.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in zip(*rows)], names=names)
+    *numbers, settled = zip(*rows)
+    columns = [*(pa.array(column, pa.int64()) for column in numbers), pa.array(settled, pa.bool_())]
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, max_open: int = MAX_OPEN) -> DataFrame:

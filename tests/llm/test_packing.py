@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -56,6 +57,29 @@ def test_settling_leaves_one_window_open():
         assert sum(size < 32 for size in sizes) <= 1 + total // (32 * 20)
 
 
+def test_the_rule_closes_more_windows_of_more_documents():
+    rng = random.Random(3)
+    shares = []
+    for count in (1000, 20_000):
+        packer = packing.Packer()
+        for i in range(count):
+            size = int(min(20_000, rng.lognormvariate(5.5, 1))) + 1
+            packer.add((i, size), bytes(4 * size))
+        packer.settle()
+        windows = packer.taken()
+        shares.append(sum(w.settled for w in windows) / len(windows))
+    assert shares[1] < shares[0] / 2
+
+
+def test_a_long_document_is_cut_in_linear_time():
+    packer, size = packing.Packer(), 5_000_000
+    began = time.perf_counter()
+    packer.add((1, size), bytes(4 * size))
+    assert time.perf_counter() - began < 2
+    assert len(packer.taken()) == size // 2048
+    assert len(packer.windows[size % 2048][0][0].ids) == 4 * (size % 2048)
+
+
 def test_each_id_lies_in_one_piece(spark):
     tokenizer = Tokenizer.from_file(packing.vocabulary_path())
     rows = [(i, *row[1:]) for i, row in enumerate(edge_rows())]
