@@ -38,6 +38,10 @@ LITERALS, LENGTHS, DISTANCES = 256, 24, 40
 CACHE_MULTIPLIER = np.uint32(0x1E35A7BD)
 OPAQUE_BLACK = 0xFF000000
 LONGEST_CODE, LONGEST_RUN, LARGEST_SIDE = 15, 4096, 16384
+#: Bits of the largest block of a transform.
+LARGEST_BLOCK = 9
+#: How far back the encoder refers; the extra bits of what is nearer fit the writer's numbers.
+FARTHEST = (1 << 16) - 1
 
 #: Bits looked at together when literals are decoded.
 SPAN = 1 << 17
@@ -316,11 +320,13 @@ def undo_predictor(rest: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray
     out = rest.astype(np.int64)
     out[0, 0] += channels_of(np.array([OPAQUE_BLACK], np.uint32))[0]
     out[0] = out[0].cumsum(axis=0) & 255
-    above_only = np.isin(modes, (0, 2, 3, 4, 8, 9))
+    above_only, left_only = np.isin(modes, (0, 2, 3, 4, 8, 9)), modes == 1
     for y in range(1, out.shape[0]):
         row = modes[y >> bits]
         out[y, 0] = (out[y, 0] + out[y - 1, 0]) & 255
-        if above_only[y >> bits].all():
+        if left_only[y >> bits].all():
+            out[y] = out[y].cumsum(axis=0) & 255
+        elif above_only[y >> bits].all():
             # The pixel above and to the right of the last one is the first of this row.
             before, width = out[y - 1], out.shape[1]
             beyond = np.concatenate([before[2:], out[y, :1]]) if width > 1 else before[:0]
@@ -563,9 +569,54 @@ def runs_of(pixels: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.minimum(LONGEST_RUN, np.repeat(lengths, pieces) - nth * LONGEST_RUN)
 
 
-def put_pixels(out: Writer, pixels: np.ndarray, width: int, main: bool, cache_bits: int = 0, least_run: int = 8, longest: int = LONGEST_CODE) -> None:
-    """An entropy-coded image of literals, runs as back-references by one pixel, and colours from the cache."""
-    starts, lengths = runs_of(pixels, least_run)
+def copies_of(samples: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and distances of what was there before, ``least`` samples or more, none overlapping.
+
+    Every position looks back to the last one with the same eight samples; positions in a row that look back as far are one copy.
+    """
+    none = np.zeros(0, np.int64)
+    count = len(samples) - 7
+    if count < 2:
+        return none, none, none
+    raw = samples.tobytes()
+    words = np.empty(count, np.uint64)
+    for i in range(min(8, count)):
+        words[i::8] = np.frombuffer(raw, "<u8", (count - i + 7) // 8, i)
+    keys = np.sort(((words * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32) << np.uint64(32)) | np.arange(count, dtype=np.uint64))
+    place, top = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), keys >> np.uint64(32)
+    later, earlier = place[1:], place[:-1]
+    same = (top[1:] == top[:-1]) & (words[later] == words[earlier])
+    back = np.zeros(count + 1, np.int64)
+    back[later[same]] = later[same] - earlier[same]
+    back[back > FARTHEST] = 0
+    edges = np.flatnonzero(np.diff(back, prepend=0))
+    ends = np.append(edges[1:], count)
+    far = back[edges]
+    long = (far > 0) & (ends - edges + 7 >= least)
+    out, until = [], 0
+    for start, end, distance in zip(edges[long].tolist(), (ends[long] + 7).tolist(), far[long].tolist()):
+        start = max(start, until)
+        while end - start >= least:
+            length = min(end - start, LONGEST_RUN)
+            out.append((start, length, distance))
+            start += length
+            until = start
+    return tuple(np.array(column, np.int64) for column in zip(*out)) if out else (none, none, none)
+
+
+def put_pixels(
+    out: Writer, pixels: np.ndarray, width: int, main: bool, cache_bits: int = 0, least_run: int = 8, longest: int = LONGEST_CODE,
+    copies: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None,
+) -> None:
+    """An entropy-coded image of literals, back-references and colours from the cache.
+
+    Without ``copies`` given, runs are the back-references, by one pixel.
+    """
+    if copies is None:
+        starts, lengths = runs_of(pixels, least_run)
+        distances = np.ones(len(starts), np.int64)
+    else:
+        starts, lengths, distances = copies
     kind = np.zeros(len(pixels), np.int8)  # 0 literal, 1 start of a run, 2 cached, 3 inside a run
     for start, length in zip(starts.tolist(), lengths.tolist()):
         kind[start : start + length] = 3
@@ -585,8 +636,9 @@ def put_pixels(out: Writer, pixels: np.ndarray, width: int, main: bool, cache_bi
     if cache_bits:
         green[kinds == 2] = LITERALS + LENGTHS + slots[keep][kinds == 2]
     literal = kinds == 0
-    # A pixel to the left is the second of the near ones.
-    distance, _, _ = prefix_of(np.array([NEAR.index((1, 0)) + 1]))
+    # The pixel to the left and the one above are near ones; all others are told by how far they are.
+    far = np.where(distances == 1, NEAR.index((1, 0)) + 1, np.where(distances == width, NEAR.index((0, 1)) + 1, distances + len(NEAR)))
+    distance_symbols, distance_extra, distance_bits = prefix_of(far)
     out.put(1 if cache_bits else 0, 1)
     if cache_bits:
         out.put(cache_bits, 4)
@@ -598,16 +650,18 @@ def put_pixels(out: Writer, pixels: np.ndarray, width: int, main: bool, cache_bi
     for shift in (16, 0, 24):
         used = chosen[:1] if single else chosen[literal]
         tables.append(put_code(out, np.bincount(used >> shift & 255, minlength=LITERALS)))
-    put_code(out, np.bincount(distance, minlength=DISTANCES) if len(starts) else np.zeros(DISTANCES, np.int64))
+    far_codes, far_lengths = put_code(out, np.bincount(distance_symbols, minlength=DISTANCES))
     columns = [(tables[0][0][green], tables[0][1][green])]
     for shift, (codes, code_bits) in zip((16, 0, 24), tables[1:]):
         if code_bits.any():
             symbols = chosen >> shift & 255
             columns.append((np.where(literal, codes[symbols], 0), np.where(literal, code_bits[symbols], 0)))
     if len(starts):
-        extra, extra_bits = np.zeros(len(green), np.int64), np.zeros(len(green), np.int64)
-        extra[kinds == 1], extra_bits[kinds == 1] = length_extra, length_bits
-        columns.append((extra, extra_bits))
+        for values, counts in ((length_extra, length_bits), (far_codes[distance_symbols], far_lengths[distance_symbols]), (distance_extra, distance_bits)):
+            if counts.any():
+                extra, extra_bits = np.zeros(len(green), np.int64), np.zeros(len(green), np.int64)
+                extra[kinds == 1], extra_bits[kinds == 1] = values, counts
+                columns.append((extra, extra_bits))
     out.put_all(*(np.stack(part, axis=1).ravel() for part in zip(*columns)))
 
 
@@ -625,10 +679,29 @@ def begin(width: int, height: int) -> Writer:
     return out
 
 
-def encode_grey(samples: np.ndarray, least_run: int = 24, longest: int = 12) -> bytes:
+def bits_of(samples: np.ndarray) -> float:
+    """Bits that the samples take at least, coded one by one."""
+    counts = np.bincount(samples.ravel(), minlength=256)
+    counts = counts[counts > 0]
+    return float((counts * np.log2(samples.size / counts)).sum())
+
+
+def steps_of(samples: np.ndarray, mode: int) -> np.ndarray:
+    """What grey samples differ by from the one to the left (mode 1) or above (mode 2); where there is none, from the other."""
+    steps = samples.copy()
+    steps[1:, 0] -= samples[:-1, 0]
+    steps[0, 1:] -= samples[0, :-1]
+    steps[1:, 1:] -= samples[1:, :-1] if mode == 1 else samples[:-1, 1:]
+    return steps
+
+
+def encode_grey(samples: np.ndarray, least_copy: int = 24, longest: int = 12) -> bytes:
     """Rows and columns of 8-bit samples as greys: by a palette where some share a pixel, else by their green alone.
 
-    Codes of at most ``longest`` bits keep the reader's tables small.
+    The green is predicted from the left or from above where that takes fewer bits, and what
+    ``least_copy`` samples or more repeat is a back-reference.  Codes of at most ``longest`` bits keep the
+    reader's tables small.  A cache or cross-colour never saves a grey image anything: its
+    colours are no more than the literals, and its red and blue are nought.
     """
     height, width = samples.shape
     out = begin(width, height)
@@ -636,10 +709,24 @@ def encode_grey(samples: np.ndarray, least_run: int = 24, longest: int = 12) ->
     bits = bundle_bits(len(present))
     out.put(1, 1)
     if not bits:
+        mode, least = 0, 0.97 * bits_of(samples)
+        for other in (1, 2):
+            if (need := bits_of(steps_of(samples, other))) < least:
+                mode, least = other, need
+        alpha = OPAQUE_BLACK
+        if mode:
+            blocks = (blocks_over(height, LARGEST_BLOCK), blocks_over(width, LARGEST_BLOCK))
+            out.put(PREDICTOR, 2)
+            out.put(LARGEST_BLOCK - 2, 3)
+            put_pixels(out, np.full(blocks[0] * blocks[1], OPAQUE_BLACK | mode << 8, np.uint32), blocks[1], False)
+            out.put(1, 1)
+            # Opaque is what is predicted of alpha, so nothing is left of it.
+            samples, alpha = steps_of(samples, mode), 0
         # Less green, a grey pixel has no red and no blue.
         out.put(SUBTRACT_GREEN, 2)
         out.put(0, 1)
-        put_pixels(out, OPAQUE_BLACK | samples.ravel().astype(np.uint32) << 8, width, True, 0, least_run, longest)
+        flat = samples.ravel()
+        put_pixels(out, alpha | flat.astype(np.uint32) << 8, width, True, longest=longest, copies=copies_of(flat, least_copy))
         return container(out.data())
     palette = (OPAQUE_BLACK + present * 0x10101).astype(np.uint32)
     steps = np.diff(channels_of(palette).astype(np.int64), axis=0, prepend=0) & 255
@@ -651,7 +738,7 @@ def encode_grey(samples: np.ndarray, least_run: int = 24, longest: int = 12) ->
     place[present] = np.arange(len(present))
     index = np.pad(place[samples], ((0, 0), (0, -width % (1 << bits)))).reshape(height, -1, 1 << bits)
     index = (index << (np.arange(1 << bits, dtype=np.uint32) * (8 >> bits))).sum(-1, dtype=np.uint32)
-    put_pixels(out, (index << 8).ravel(), index.shape[1], True, 0, least_run, longest)
+    put_pixels(out, (index << 8).ravel(), index.shape[1], True, 0, 24, longest)
     return container(out.data())
 
 

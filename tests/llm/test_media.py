@@ -195,3 +195,44 @@ def test_pixel_arrays(spark, monkeypatch):
     stored = spark.createDataFrame([(7, bytearray(coloured * 2)), (8, None)], "doc_id long, media binary")
     assert [(r.image, np.frombuffer(r.pixels, "<u4").tolist()) for r in media.pixel_arrays(stored).collect()] == [(0, [*range(12)]), (1, [*range(12)])]
     assert media.pixel_arrays(stored.where("false")).count() == 0
+
+
+def greys():
+    """Samples for which each way of storing them is the smallest."""
+    rng = np.random.default_rng(4)
+    line = rng.integers(0, 256, 200).astype(np.uint8)
+    return {
+        "plain": rng.integers(60, 120, (6, 576)).astype(np.uint8),
+        "left": (rng.integers(0, 3, (6, 576)).cumsum(1) & 255).astype(np.uint8),
+        "above": (rng.integers(0, 3, (9, 576)).cumsum(0) + rng.integers(0, 256, 576) & 255).astype(np.uint8),
+        "copies": np.concatenate([line, rng.integers(0, 256, 77).astype(np.uint8), line, line, rng.integers(0, 256, 475).astype(np.uint8)]).reshape(-1, 576),
+        "row above": np.tile(rng.integers(0, 256, 576).astype(np.uint8), (5, 1)),
+        "run": np.full((4, 576), 255, np.uint8),
+        "one": np.array([[7]], np.uint8),
+        "column": rng.integers(0, 256, (40, 1)).astype(np.uint8),
+    }
+
+
+def test_greys_are_stored_the_smaller_way():
+    found = greys()
+    for name, samples in found.items():
+        stored = webp.encode_grey(samples)
+        assert np.array_equal(media.samples_of(webp.decode(stored)), samples), name
+    size = lambda name: len(webp.encode_grey(found[name]))
+    assert size("left") < found["left"].size / 3 and size("above") < found["above"].size / 2
+    assert size("copies") < found["copies"].size - 300
+    assert size("row above") < 576 + 300
+
+
+def test_copies_are_what_was_there_before():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        parts = [rng.integers(0, 4 if rng.random() < 0.5 else 256, int(rng.integers(1, 60))).astype(np.uint8) for _ in range(4)]
+        samples = np.concatenate([parts[int(i)] for i in rng.integers(0, 4, 30)])
+        starts, lengths, distances = webp.copies_of(samples, 10)
+        until = 0
+        for start, length, distance in zip(starts, lengths, distances):
+            assert start >= until and 10 <= length <= webp.LONGEST_RUN and 0 < distance <= start
+            assert all(samples[start + i] == samples[start + i - distance] for i in range(length))
+            until = start + length
+    assert all(len(part) == 0 for part in webp.copies_of(np.zeros(3, np.uint8), 10))
