@@ -1,14 +1,15 @@
 """From raw documents to packed training windows: five stages, each on all that the one before kept.
 
 1. quality: documents that the tree classifier scores below its threshold go.
-2. near_duplicates: one row of each group of similar texts stays (five-word shingles, Jaccard 0.8 or more).
+2. near_duplicates: one row of each group of similar texts stays (five-word shingles, Jaccard 0.8 or more): the
+   vantage-point trees' links are checked exactly, and what they can't reach within their radius is found by shingles.
 3. pii: personal data in the texts is replaced by its kind.
 4. mixing: sources are taken to their target words, copies in curriculum order.
 5. packing: texts become pieces of windows of 2048 tokens.
 
 Every stage takes any documents, none included; rows without an id or a text are
 treated as its operator's docstring says.  Stages 1 to 4 return the columns of
-what they were given.
+what they were given, whatever else is called as they call things.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruzi.llm import mixing, packing, pii, quality_model, resemblance
-from ruzi.llm.common import table, written
+from ruzi.llm.common import discard, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -68,6 +69,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each one's rows are written as Parquet and read by the next."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        if i:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
