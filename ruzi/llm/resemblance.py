@@ -115,8 +115,16 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
         return work
 
-    counted = map_batches(rows.select("text"), make, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("count"))
-    found = counted.orderBy(F.desc("count"), "shingle").limit(MAX_COMMON).toPandas()
+    counted = written(map_batches(rows.select("text"), make, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("count")))
+    # The counts down to which there are no more than MAX_COMMON: a row for each count that occurs, most of them rare.
+    least, room = 1 << 62, MAX_COMMON
+    for row in counted.groupBy("count").agg(F.count(F.lit(1)).alias("shingles")).orderBy(F.desc("count")).limit(MAX_COMMON).toLocalIterator():
+        room -= row.shingles
+        if room < 0:
+            break
+        least = row["count"]
+    found = counted.where(F.col("count") >= least).toPandas()
+    discard(counted)
     values = found["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(values)
     return values[order], found["count"].to_numpy(np.int64)[order]

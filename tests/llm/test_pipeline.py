@@ -58,6 +58,19 @@ def test_on_documents(spark):
     assert rows.count() == found[5].count()
 
 
+def test_internal_names_pass_through(spark):
+    names = ["score", "key", "row", "component", "first_row", "fp", "group", "_mix_size", "_mix_row", "_mix_copy", "node", "size", "label_id", "found", "rep"]
+    rows = [(i, f"clean words number {i} and some more of {i % 50} in text {i * 7}", "en", f"s{i % 3}", 40, *range(5, 5 + len(names))) for i in range(60)]
+    docs = spark.createDataFrame(rows, DOC_SCHEMA + "".join(f", `{name}` int" for name in names))
+    found = [docs]
+    for name, stage in cp.STAGES[1:4]:
+        found.append(written(stage(spark, found[-1], DATA)))
+        assert found[-1].columns == docs.columns, name
+        assert {tuple(r[5:]) for r in found[-1].collect()} == {tuple(range(5, 5 + len(names)))}, name
+    scored = cp.STAGES[0][1](spark, docs, DATA)
+    assert scored.columns == docs.columns and scored.count() <= 60
+
+
 def test_awkward_rows_and_no_rows(spark):
     docs = spark.createDataFrame([(*r, 1.5) for r in edge_rows()], DOC_SCHEMA + ", score double")
     check(stages_of(spark, docs, DATA))
