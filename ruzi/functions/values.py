@@ -33,11 +33,12 @@ BASES = {"x": (16, "[0-9a-fA-F]"), "o": (8, "[0-7]"), "b": (2, "[01]")}
 
 @dataclass(frozen=True)
 class Operand:
-    """A column with its kind; ``present`` is where a row has the column at all (None: everywhere)."""
+    """A column with its kind; ``present`` is where a row has the column at all (None: everywhere), ``whole`` if its native type is an integer."""
 
     column: Column
     kind: str
     present: Column | None = None
+    whole: bool = False
 
 
 # Python values
@@ -140,6 +141,15 @@ def unsigned(zero: float) -> float:
     return zero + 0.0
 
 
+def number_literal(operand: Operand, value: float) -> float | int:
+    """A number to compare a column with: a whole one where the column is, which a scan can check against its files.
+
+    Below 2**53 no integer is taken for another as a double.
+    """
+    value = unsigned(value)
+    return int(value) if operand.whole and value.is_integer() and abs(value) < 2**53 else value
+
+
 def equals_literal(operand: Operand, value: Any) -> Column:
     """Loose equality with a literal: a number also equals a string that spells it."""
     column, kind = operand.column, operand.kind
@@ -149,20 +159,20 @@ def equals_literal(operand: Operand, value: Any) -> Column:
     if isinstance(value, bool):
         return {"boolean": lambda: column == value, "any": lambda: (column["t"] == BOOLEAN) & (column["b"] == value)}.get(kind, lambda: F.lit(False))()
     if isinstance(value, float):
-        return as_number(operand) == unsigned(value) if kind != "boolean" and kind != "other" else F.lit(False)
+        return as_number(operand) == number_literal(operand, value) if kind != "boolean" and kind != "other" else F.lit(False)
     if isinstance(value, str):
         spelt = number_in(value)
         same = {"string": lambda: column == value, "any": lambda: (column["t"] == STRING) & (column["s"] == value)}.get(kind)
         parts = [same()] if same else []
         if spelt is not None and kind in ("number", "any"):
-            parts.append(as_number(operand, False) == unsigned(spelt))
+            parts.append(as_number(operand, False) == number_literal(operand, spelt))
         return any_of([F.coalesce(part, F.lit(False)) if len(parts) > 1 else part for part in parts]) if parts else F.lit(False)
     return F.lit(False)
 
 
 def compare_literal(op: str, operand: Operand, value: float) -> Column:
     """Strict equality or a range against a number."""
-    value = unsigned(value)
+    value = number_literal(operand, value)
     if op == "strict":
         return as_number(operand, False) == value if operand.kind in ("number", "any") else F.lit(False)
     if operand.kind in ("boolean", "other"):

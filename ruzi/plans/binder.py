@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ruzi.catalog import Catalog, Table
 from ruzi.errors import EngineError
@@ -27,7 +28,8 @@ class Input:
         present = None
         if self.table.owned:
             present = F.array_contains(F.col(f"{self.prefix}_present"), name)
-        return V.Operand(F.col(f"{self.prefix}_{place}"), self.table.columns[place].kind, present)
+        whole = not self.table.owned and isinstance(self.table.frame.schema.fields[place].dataType, T.IntegralType)
+        return V.Operand(F.col(f"{self.prefix}_{place}"), self.table.columns[place].kind, present, whole)
 
 
 @dataclass(frozen=True)

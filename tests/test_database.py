@@ -287,3 +287,19 @@ def test_get_frame_is_lazy(db, spark):
     assert frame.columns == ["id", "izina", "nyiracyo"] and frame.collect() == [(2.0, "Umuti", 2.0)]
     assert db.get_frame("ibitabo", None, 1).collect() == [(1.0, "Inzia", 1.0)]
     assert db.get_frame("ibitabo", {"nta": 1}).count() == 0
+
+
+def test_counters(db, spark, tmp_path):
+    spark.range(0, 8000, 1, 4).selectExpr("id", "id % 7 AS k").write.parquet(f"{tmp_path}/n")
+    db.register("n", f"{tmp_path}/n")
+    assert db.query_rows("hitamo bara(*) muri n aho id >= 0") == [{"bara": 8000}]
+    assert (db.counters.rows_read, db.counters.index_visits, db.counters.catalog_loads) == (8000, 0, 0)
+    before = db.counters.rows_read
+    assert db.get("n", {"id": 5}) == [{"id": 5, "k": 5}]
+    assert 1 <= db.counters.rows_read - before <= 4000  # the other files' statistics rule them out; a sort reads twice
+    db.execute("kora urutonde i muri n (k)")
+    db.query_rows("hitamo bara(*) muri n aho k = 3")
+    assert db.counters.index_visits == 8000
+    db.execute("kora itsinda t shira muri t { a: 1 }")
+    db.save(f"{tmp_path}/s")
+    assert Database.open(spark, f"{tmp_path}/s").counters.catalog_loads == 1

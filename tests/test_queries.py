@@ -64,6 +64,10 @@ def test_plans_push_down_and_prune(spark):
     plan = plan_of(db.query("hitamo l_orderkey muri lineitem aho l_quantity >= 45 kandi l_discount < 0.05"))
     assert "GreaterThanOrEqual(l_quantity,45.0)" in plan and "l_extendedprice" not in plan
     assert "Exchange" not in plan
+    for where in ("l_orderkey = 7", "l_orderkey ni 7", 'l_orderkey = "7"', "l_orderkey = $x"):
+        assert "EqualTo(l_orderkey,7)" in plan_of(db.query(f"hitamo l_tax muri lineitem aho {where}", {"x": 7} if "$" in where else None)), where
+    assert "LessThan(l_orderkey,7)" in plan_of(db.query("hitamo l_tax muri lineitem aho l_orderkey < 7"))
+    assert "GreaterThan(n_nationkey" in plan_of(db.query("hitamo n_name muri nation aho n_nationkey > 3.5"))
     top = plan_of(db.query("hitamo l_orderkey muri lineitem tondeka l_quantity manuka imipaka 3"))
     assert "TakeOrderedAndProject" in top and "Exchange" not in top
     first = plan_of(db.query("hitamo l_orderkey muri lineitem imipaka 3"))
