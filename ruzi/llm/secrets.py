@@ -66,8 +66,8 @@ NO_MATCHES, NO_SPANS = f"CAST(array() AS array<{MATCH}>)", f"CAST(array() AS arr
 BREAK_RANK = len(KINDS)
 
 
-def matches(text: Column, rank: int, pattern: str, hint: str) -> Column:
-    """An array of MATCH, in the text's order."""
+def matches(text: Column, rank: int, pattern: str, worth: Column) -> Column:
+    """An array of MATCH, in the text's order; none where it isn't ``worth`` a look."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if KINDS[rank : rank + 1] == ("assign",) else hits
     parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"), values.alias("value"))
@@ -75,16 +75,20 @@ def matches(text: Column, rank: int, pattern: str, hint: str) -> Column:
         F.lit(rank).alias("rank"), i.cast("int").alias("place"),
         *[F.length(part[name]).alias(name) for name in ("gap", "hit", "value")],
     ))
-    return F.when(text.rlike(hint), found).otherwise(F.expr(NO_MATCHES))
+    return F.when(worth, found).otherwise(F.expr(NO_MATCHES))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, row_key and the matches of all kinds and, where a part of the method's is among them, of breaks."""
+    text = F.col("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = [matches(F.col("text"), i, PATTERNS[kind], HINT.get(kind, PATTERNS[kind])) for i, kind in enumerate(KINDS)]
-    any_weak = "|".join(f"(?:{HINT.get(kind, PATTERNS[kind])})" for kind in WEAK)
-    found.append(matches(F.col("text"), BREAK_RANK, BREAK, rf"(?s:{any_weak})"))
-    return rows.select("doc_id", F.monotonically_increasing_id().alias("row_key"), F.concat(*found).alias("matches"))
+    base, weak = (
+        F.concat(*[matches(text, KINDS.index(kind), PATTERNS[kind], text.rlike(HINT.get(kind, PATTERNS[kind]))) for kind in kinds])
+        for kinds in (BASE, WEAK)
+    )
+    rows = rows.select("doc_id", "text", base.alias("base"), weak.alias("weak"))
+    breaks = matches(text, BREAK_RANK, BREAK, F.size("weak") > 0)
+    return rows.select("doc_id", F.monotonically_increasing_id().alias("row_key"), F.concat("base", "weak", breaks).alias("matches"))
 
 
 def spans_of(rows: DataFrame) -> DataFrame:
