@@ -41,7 +41,7 @@ LENGTH = 2048
 END = 1
 MAX_OPEN = 4096
 #: Words whose ids are kept; when there are so many, they are kept as the older ones and a new lot begins.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 WIDTH = 4  # bytes of an id
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, settled boolean"
