@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruzi.llm.common import bounded_sample, even, map_batches, written
+from ruzi.llm.common import bounded_sample, discard, even, map_batches, written
 
 #: Labelled rows that fitting takes at most.
 MAX_ROWS = 20_000
@@ -183,6 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Fores
     # Documents may repeat an id: it counts once, by its least statistics, and the bound on ids is one on rows.
     once = measured.groupBy("id").agg(F.min(F.struct("label", *FEATURES)).alias("row")).select("id", "row.*")
     found = once.toPandas().sort_values("id", ignore_index=True)
+    discard(known)
     return fit(found[list(FEATURES)].to_numpy(float), (found["label"] > 0).to_numpy(float))
 
 
